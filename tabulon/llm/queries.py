@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tabulon.llm import dedup, mixing, preferences
+from tabulon.llm import audio, dedup, mixing, preferences, tokencount, urls
 
 
 def queries() -> dict:
     return {
+        "op1_url_language_model": urls.op1,
         "op3_poisson_mix": mixing.op3,
+        "op5_telephony_audio": audio.op5,
         "op6_preference_format": preferences.op6,
         "op7_exact_dedup": dedup.op7,
+        "op9_token_counts": tokencount.op9,
     }
 
 
