@@ -77,7 +77,7 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts one after the other, and the offset where each begins (one more than texts)."""
-    column = pc.fill_null(column, "").cast(pa.large_binary())
+    column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "").cast(pa.large_binary())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -107,3 +107,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def held_out(doc_id: str) -> F.Column:
     """The fold of the contracts: crc32 of the id as text, remainder 2 of 4.  A null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+#: The white space of the word contracts: space and bytes 9 to 13.
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def runs(flags: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the runs of true flags; a run is cut where a text begins (positions ``cut``)."""
+    if not len(flags):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begin = flags.copy()
+    begin[1:] &= ~flags[:-1]
+    at = cut[cut < len(flags)]
+    begin[at] = flags[at]
+    end = flags.copy()
+    end[:-1] &= ~flags[1:]
+    at = cut[(cut > 0) & (cut <= len(flags))] - 1
+    end[at] = flags[at]
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+
+def run_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[begin:end] for each run: the sum of random words, one for each (place, byte)."""
+    if not len(begins):
+        return np.zeros(0, np.uint64)
+    sizes = ends - begins
+    first = np.append(0, np.cumsum(sizes))[:-1]
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    inside = data[place + np.repeat(begins, sizes)].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = mix64((place.astype(np.uint64) << np.uint64(21) | inside) + np.uint64(0x9E3779B97F4A7C15))
+    return mix64(np.add.reduceat(mixed, first))

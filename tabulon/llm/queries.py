@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import audio, dedup, mixing, preferences, tokencount, urls
+from tabulon.llm import audio, bpe, dedup, mixing, preferences, tokencount, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_telephony_audio": audio.op5,
         "op6_preference_format": preferences.op6,
         "op7_exact_dedup": dedup.op7,
+        "op8_byte_bpe": bpe.op8,
         "op9_token_counts": tokencount.op9,
     }
 
