@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from tabulon.llm import audio, bpe, dedup, mixing, preferences, tokencount, urls
+from tabulon.llm import audio, bpe, dedup, langid, mixing, preferences, quality, tokencount, urls
 
 
 def queries() -> dict:
     return {
         "op1_url_language_model": urls.op1,
         "op3_poisson_mix": mixing.op3,
+        "op4_language_spans": langid.op4,
         "op5_telephony_audio": audio.op5,
         "op6_preference_format": preferences.op6,
         "op7_exact_dedup": dedup.op7,
         "op8_byte_bpe": bpe.op8,
         "op9_token_counts": tokencount.op9,
+        "op10_quality_ranking": quality.op10,
     }
 
 
