@@ -56,6 +56,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are sent to every executor; beyond that they meet the rows in a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows of the ids in ``gone``; the texts stay where they are if those ids are few."""
+    ids = written(gone.toDF("__gone"), "gone")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def blocks(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, each with BLOCK_BYTES of text in that column or a single row."""
     column = batch.column(text)

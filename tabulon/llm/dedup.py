@@ -199,12 +199,11 @@ def exact_dedup(docs: DataFrame, in_snapshot: F.Column | None = None, id_col: st
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with all their columns."""
-    found = exact_dedup(docs, None, id_col, text_col)
-    found = common.written(found.select("doc_id", "kept", "digest"), "dedup")
+    found = common.written(exact_dedup(docs, None, id_col, text_col).select("doc_id", "kept", "digest"), "dedup")
     n, ids = found.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    kept = found.filter("kept")
     if n == ids:
-        return docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col(id_col) == F.col("__kept"), "left_semi")
+        return common.without(docs, found.filter("NOT kept").select("doc_id"), id_col)
+    kept = found.filter("kept")
     # ids repeat: the digest tells the rows of an id apart, and one of each (id, digest) stays
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
     keyed = docs.withColumn("__digest", F.unhex(F.sha2(text.cast("binary"), 256)))

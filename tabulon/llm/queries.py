@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tabulon.llm import audio, bpe, dedup, langid, mixing, preferences, quality, tokencount, urls
+from tabulon.llm import audio, bpe, dedup, langid, mixing, ngram_join, preferences, quality, tokencount, urls
 
 
 def queries() -> dict:
     return {
         "op1_url_language_model": urls.op1,
+        "op2_ngram_jaccard": ngram_join.op2,
         "op3_poisson_mix": mixing.op3,
         "op4_language_spans": langid.op4,
         "op5_telephony_audio": audio.op5,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard": ngram_join.SQL,
         "op3_poisson_mix": mixing.SQL,
         "op6_preference_format": preferences.SQL,
         "op7_exact_dedup": dedup.SQL,
