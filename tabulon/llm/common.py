@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most UTF-8 bytes of text that a kernel sees at once; a single longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _own_dir: list[str] = []
 
@@ -67,13 +67,13 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     return docs.join(ids, F.col(id_col) == F.col("__gone"), "left_anti")
 
 
-def blocks(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, each with BLOCK_BYTES of text in that column or a single row."""
+def blocks(batch: pa.RecordBatch, text: int = 1, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, each with ``limit`` bytes of text in that column or a single row."""
     column = batch.column(text)
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and held + n > BLOCK_BYTES:
+        if i > start and held + n > limit:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += int(n)
@@ -95,12 +95,12 @@ def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def map_text(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_text(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = BLOCK_BYTES) -> DataFrame:
     """Apply a kernel to the blocks of a DataFrame of (id, text, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, limit=limit):
                 yield kernel(part)
 
     return df.mapInArrow(run, schema)

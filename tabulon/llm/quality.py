@@ -22,6 +22,8 @@ from tabulon.llm import common
 
 #: Labelled rows that the model is fitted on, and preference pairs drawn from them.
 SAMPLE, PAIRS, RIDGE = 20_000, 200_000, 1e-3
+#: Bytes of text that are measured at once; the arrays take about 100 bytes for each.
+BLOCK = 1 << 20
 #: The score at the threshold.
 CUT = 0.7
 NAMES = (
@@ -102,7 +104,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return pa.record_batch([batch.column(0), lists], names=["doc_id", "x"])
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return common.map_text(given, kernel, f"doc_id {given.schema[0].dataType.simpleString()}, x array<double>")
+    return common.map_text(given, kernel, f"doc_id {given.schema[0].dataType.simpleString()}, x array<double>", limit=BLOCK)
 
 
 def expand(x: np.ndarray) -> np.ndarray:
