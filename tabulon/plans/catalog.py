@@ -688,7 +688,7 @@ def gap_clusters(t):
     spread = t.withColumn("at", F.struct("hour", "event_id"))
     w = Window.partitionBy("user_id").orderBy("at")
     far = F.coalesce(F.col("hour") - F.lag("hour").over(w) > 5, F.lit(False)).cast("int")
-    return spread.withColumn("far", far).select("user_id", "event_id", F.sum("far").over(w.rowsBetween(w.unboundedPreceding, 0)).alias("cluster"))
+    return spread.withColumn("far", far).select("user_id", "event_id", F.sum("far").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cluster"))
 
 
 @query(I.EVENTS, """WITH h AS (SELECT DISTINCT user_id, hour FROM t), g AS (SELECT *, CASE WHEN hour - lag(hour) OVER (PARTITION BY user_id ORDER BY hour) > 5 THEN 1 ELSE 0 END AS far FROM h),
