@@ -7,18 +7,19 @@ any one global order, so the join works on prefixes and verifies what is left on
    is only a matter of speed, any order is exact.
 2. Every document gives its set's size, a 128-bit signature and its prefix.  Documents with the same signature
    are one set from here on: copies are never paired.
-3. Stars.  A set's first ``STAR`` n-grams name hubs, the least set of each; pairs (set, hub) that agree on two of
-   them are verified on whole sets.  That takes at most STAR pairs a set, however large a group of near
+3. Stars.  A set's first ``STAR`` n-grams name hubs, of each the set with the most equal documents (a group of near
+   copies mostly has its origin there); pairs (set, hub) that agree on two of them are verified on whole sets.  That takes at most STAR pairs a set, however large a group of near
    copies is.  A set that links to its hub takes over the hub's answers: in what follows, all sets of a
    component have one answer, and only links between components are looked for.
 4. Index lists.  For each n-gram of the prefixes whose list holds more than one component (one aggregation tells),
    pairs across components are formed.  A list is ordered by set size and cut into blocks; with the sizes and
    positions of a block as bounds, a set skips every block that cannot hold enough common n-grams, and the pairs
-   left are bounded each.  The matches of a pair are counted over all lists, and the count must reach what the
+   left are bounded each, by position and by the parity bitmaps of the two whole sets.  The matches of a pair are counted over all lists, and the count must reach what the
    two sizes ask for given that both prefixes have been seen whole.
    A list of more than ``CELL`` sets is dealt to cells: its largest component in parts, each beside the
    rest of the list, and the rest in parts against each other, so no task gets an unbounded list.
-5. The pairs left are verified on whole sets; the components of all links are the result.
+5. The pairs left are verified on whole sets, the likeliest of each set first; pairs that these links put into one
+   component are answered.  The components of all links are the result.
 """
 
 from __future__ import annotations
@@ -35,13 +36,15 @@ from tabulon.llm.components import connected
 
 #: Words of an n-gram of the query; links of the query need 85 in 100.
 WORDS, PERCENT = 4, 85
-STAR = 3
+STAR = 6
 #: Common prefix n-grams that a pair needs at least; the prefix is longer by that.
 ELL = 3
 #: Rows of a cell of an index list, and rows of a skip block.
 CELL, BLOCK = 1000, 32
 #: n-grams that go last in the order: at most so many, in at least LOCAL texts of a block somewhere.
 HEAVY, LOCAL = 100_000, 8
+#: Bits of a set's parity bitmap.
+BITS = 512
 #: Ids of documents to verify that are sent to every executor; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Pairs that the kernel of the lists holds at once.
@@ -124,8 +127,18 @@ def signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _binary16(values: np.ndarray) -> pa.Array:
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(values), [None, pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+def parities(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """BITS bits for each set: bit k is the parity of how many members hash to k.  Two sets differ in at least as
+    many members as their bits differ, so their overlap is at most half of (a + b - differing bits)."""
+    n = len(first) - 1
+    bit = (common.mix64(value.astype(np.uint64) + np.uint64(77)) & np.uint64(BITS - 1)).astype(np.int64)
+    odd = np.bincount(_owners(first) * BITS + bit, minlength=n * BITS).reshape(n, BITS) & 1
+    return np.packbits(odd.astype(bool), axis=1)
+
+
+def _fixed(values: np.ndarray) -> pa.Array:
+    width = values.shape[1]
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(values), [None, pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
 def _lists(value: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -133,7 +146,7 @@ def _lists(value: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """(doc_id, n, sig, prefix) of every document."""
+    """(doc_id, n, sig, bits, prefix) of every document."""
     place = np.argsort(heavy, kind="stable")
     sent = docs.sparkSession.sparkContext.broadcast((heavy[place], place))
 
@@ -143,9 +156,9 @@ def prefixes(docs: DataFrame, words: int, percent: int, heavy: np.ndarray) -> Da
         keys = _ordered(value, first, *sent.value)
         length = np.minimum(n, n - -((-percent * n) // 100) + ELL)
         inside = np.arange(len(keys)) - np.repeat(first[:-1], n) < np.repeat(length, n)
-        return pa.record_batch([batch.column(0), pa.array(n), _binary16(signatures(value, first)), _lists(keys[inside], length)], names=["doc_id", "n", "sig", "prefix"])
+        return pa.record_batch([batch.column(0), pa.array(n), _fixed(signatures(value, first).view(np.uint8)), _fixed(parities(value, first)), _lists(keys[inside], length)], names=["doc_id", "n", "sig", "bits", "prefix"])
 
-    return common.map_text(docs, kernel, "doc_id long, n long, sig binary, prefix array<long>")
+    return common.map_text(docs, kernel, "doc_id long, n long, sig binary, bits binary, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, words: int, sets: DataFrame) -> DataFrame:
@@ -156,7 +169,7 @@ def whole_sets(docs: DataFrame, words: int, sets: DataFrame) -> DataFrame:
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         value, first = grams(batch.column(1), words)
-        return pa.record_batch([_binary16(signatures(value, first)), _lists(value, np.diff(first))], names=["sig", "grams"])
+        return pa.record_batch([_fixed(signatures(value, first).view(np.uint8)), _lists(value, np.diff(first))], names=["sig", "grams"])
 
     found = common.map_text(texts, kernel, "sig binary, grams array<long>").join(sets.select("id", "sig"), "sig")
     # rows that repeat an id with the same text give a set again
@@ -175,7 +188,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
 
 
 def match_lists(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, hits) from cells of index lists: rows (gram, i, j, side, id, n, pos, comp), one match per gram.
+    """(a, b, hits) from cells of index lists: rows (gram, i, j, side, id, n, pos, comp, bits), one match per gram.
 
     Pairs are of different components and opposite sides (side 2: any).  Cells must be whole in a partition
     and ordered by (gram, i, j, n).
@@ -214,7 +227,13 @@ def match_lists(rows: DataFrame, percent: int) -> DataFrame:
             a, b = a[good], b[good]
             na, nb, pa_, pb = x["n"][a], x["n"][b], x["pos"][a], x["pos"][b]
             good = np.minimum(na - pa_, nb - pb) + np.minimum(pa_, pb) >= need(na, nb, percent)
-            yield a[good], b[good]
+            a, b = a[good], b[good]
+            for k in range(0, len(a), PAIRS // 8):
+                c, d = a[k : k + PAIRS // 8], b[k : k + PAIRS // 8]
+                apart = np.bitwise_count(x["bits"][c] ^ x["bits"][d]).sum(axis=1, dtype=np.int64)
+                total = x["n"][c] + x["n"][d]
+                good = total - apart >= 2 * need(x["n"][c], x["n"][d], percent)
+                yield c[good], d[good]
             start = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +254,12 @@ def match_lists(rows: DataFrame, percent: int) -> DataFrame:
                     yield pa.record_batch([pa.array(v) for v in (low[at], high[at], n_low[at], n_high[at], hits)], names=["a", "b", "na", "nb", "hits"])
 
         for batch in batches:
+            if not len(batch):
+                continue
             x = {c: np.asarray(batch.column(k)).astype(np.int64) for k, c in enumerate(names)}
+            x["bits"] = np.frombuffer(b"".join(batch.column(len(names)).to_pylist()), np.uint64).reshape(len(batch), BITS // 64)
             if held is not None:
-                x = {c: np.concatenate([held[c], x[c]]) for c in names}
+                x = {c: np.concatenate([held[c], v]) for c, v in x.items()}
             # the last cell may go on in the next batch
             same = (x["gram"] == x["gram"][-1]) & (x["i"] == x["i"][-1]) & (x["j"] == x["j"][-1])
             cut = len(same) - int(same.sum())
@@ -290,32 +312,43 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = common.written(prefixes(given, words, percent, frequent(given, words)), "prefixes")
-    classes = rows.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"))
-    sets = common.written(classes.select(F.monotonically_increasing_id().alias("id"), "sig", "n", "doc_id"), "sets")
+    classes = rows.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    sets = common.written(classes.select(F.monotonically_increasing_id().alias("id"), "sig", "n", "doc_id", "copies"), "sets")
     # the prefix of one row of each set; sets of up to ELL n-grams link with equal sets only
-    firsts = rows.filter(f"n > {ELL}").select("sig", F.col("doc_id").alias("d"), "prefix")
+    firsts = rows.filter(f"n > {ELL}").select("sig", F.col("doc_id").alias("d"), "bits", "prefix")
     met = sets.join(firsts, "sig").filter(F.col("d").eqNullSafe(F.col("doc_id"))).dropDuplicates(["id"])
-    index = common.written(met.select("id", "n", "prefix"), "index")
+    index = common.written(met.select("id", "n", "copies", "bits", "prefix"), "index")
 
-    keys = index.select("id", "n", F.explode(F.slice("prefix", 1, STAR)).alias("gram"))
-    hubs = keys.groupBy("gram").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("gram", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"))
+    keys = index.select("id", "n", "copies", F.explode(F.slice("prefix", 1, STAR)).alias("gram"))
+    hubs = keys.groupBy("gram").agg(F.max(F.struct("copies", (-F.col("id")).alias("minus"), "id", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("gram", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"))
     near = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
     stars = keys.join(hubs, "gram").filter((F.col("id") != F.col("b")) & near).groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("c")).filter("c >= 2").select("a", "b")
     stars = common.written(stars, "stars")
     links = common.written(verified(stars, sets, given, words, percent), "star-links")
     roots = connected(links)
 
-    full = index.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("comp"), "prefix")
+    full = index.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("comp"), "bits", "prefix")
     full = common.written(full, "components")
     postings = full.select("id", "n", "comp", F.posexplode("prefix").alias("pos", "gram"))
     lists = postings.groupBy("gram").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("gram", "size")
-    dealt = cells(postings, common.written(lists, "lists")).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n")
+    # the bitmaps join the few postings that are left, so the shuffles before do not carry them
+    dealt = cells(postings, common.written(lists, "lists")).join(full.select("id", "bits"), "id")
+    dealt = dealt.select("gram", "i", "j", "side", "id", "n", "pos", "comp", "bits").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n")
     hits = match_lists(dealt, percent)
     seen = lambda n: F.col(n) - F.least(F.col(n), F.floor(F.col(n) * (100 - percent) / 100) + ELL)  # noqa: E731  n-grams after the prefix
     overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     enough = F.col("hits") >= F.greatest(F.lit(ELL), overlap - F.greatest(seen("na"), seen("nb")))
-    more = common.written(hits.filter(enough).select("a", "b"), "candidates")
-    links = links.unionByName(verified(more, sets, given, words, percent))
+    found = common.written(hits.filter(enough).select("a", "b", "hits"), "candidates")
+    # the likeliest partner of each set first; what then is within a component needs no more answers
+    likely = [found.groupBy(one).agg(F.max(F.struct("hits", other)).alias("m")).select(one, F.col(f"m.{other}").alias(other)).select("a", "b") for one, other in (("a", "b"), ("b", "a"))]
+    first = common.written(likely[0].unionByName(likely[1]).distinct(), "likely")
+    links = common.written(links.unionByName(verified(first, sets, given, words, percent)), "links")
+    roots = connected(links)
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    open_ = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    rest = common.written(open_.filter(apart).select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
+    links = links.unionByName(verified(rest, sets, given, words, percent))
     roots = connected(links)
 
     named = sets.join(roots, F.col("id") == F.col("node"), "left").select("sig", "doc_id", F.coalesce("root", "id").alias("comp"))
