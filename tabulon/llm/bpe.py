@@ -27,7 +27,7 @@ from tabulon.llm import common
 #: Bytes of the longest row of a matrix.
 LONG = 256
 #: Distinct pieces that a worker remembers; beyond that it begins anew.
-MAX_PIECES = 300_000
+MAX_PIECES = 100_000
 #: The rank of a pair that does not merge.
 NONE = np.int64(1) << 40
 

@@ -32,7 +32,7 @@ PENALTY = 9.0
 #: A language is written in a script that has at least this share of its letters.
 LEAST_SHARE = 0.005
 #: Codes of a block; the kernel's arrays take about 60 bytes for each.
-BLOCK_CODES = 2 << 20
+BLOCK_CODES = 1 << 20
 #: First and last code point of scripts; letters elsewhere are of no listed script.
 SCRIPTS = (
     ("Latin", 0x41, 0x24F), ("Latin", 0x1E00, 0x1EFF), ("Greek", 0x370, 0x3FF), ("Greek", 0x1F00, 0x1FFF), ("Cyrillic", 0x400, 0x52F),
