@@ -102,6 +102,7 @@ def map_text(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
         for batch in batches:
             for part in blocks(batch, limit=limit):
                 yield kernel(part)
+            pa.default_memory_pool().release_unused()  # workers live on; what a batch freed goes back
 
     return df.mapInArrow(run, schema)
 
