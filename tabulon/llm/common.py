@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 #: Most UTF-8 bytes of text that a kernel sees at once; a single longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
 
+#: Most rows and bytes of an Arrow batch between Spark and Python.
+BATCH_ROWS, BATCH_BYTES = 4000, 4 << 20
+
 _own_dir: list[str] = []
 
 
@@ -95,6 +98,20 @@ def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to BATCH_ROWS rows and BATCH_BYTES bytes.
+
+    Both sides of the bridge to Python hold whole batches, so their size is memory of every task, in the executor
+    as in its worker.  Lower limits of the session stay, where they are plain numbers.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = str(conf.get(f"spark.sql.execution.arrow.{name}")).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return df
+
+
 def map_text(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = BLOCK_BYTES) -> DataFrame:
     """Apply a kernel to the blocks of a DataFrame of (id, text, ...)."""
 
@@ -104,7 +121,7 @@ def map_text(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
                 yield kernel(part)
             pa.default_memory_pool().release_unused()  # workers live on; what a batch freed goes back
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df).mapInArrow(run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -14,9 +14,10 @@ any one global order, so the join works on prefixes and verifies what is left on
 4. Index lists.  For each n-gram of the prefixes whose list holds more than one component (one aggregation tells),
    pairs across components are formed.  A list is ordered by set size and cut into blocks; with the sizes and
    positions of a block as bounds, a set skips every block that cannot hold enough common n-grams, and the pairs
-   left are bounded each, by position and by the parity bitmaps of the two whole sets.  The matches of a pair are counted over all lists, and the count must reach what the
-   two sizes ask for given that both prefixes have been seen whole.
-   A list of more than ``CELL`` sets is dealt to cells: its largest component in parts, each beside the
+   left are bounded each, by position and by the parity bitmaps of the two whole sets.  Lists with the same largest
+   component are met in one task, so a pair is counted there over all lists that it shares and named once.  The
+   matches of a pair, over all tasks, must reach what the two sizes ask for given that both prefixes have been seen whole.
+   Lists of more than ``CELL`` sets are dealt to cells: the largest component in parts, each beside the
    rest of the list, and the rest in parts against each other, so no task gets an unbounded list.
 5. The pairs left are verified on whole sets, the likeliest of each set first; pairs that these links put into one
    component are answered.  The components of all links are the result.
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ WORDS, PERCENT = 4, 85
 STAR = 6
 #: Common prefix n-grams that a pair needs at least; the prefix is longer by that.
 ELL = 3
-#: Rows of a cell of an index list, and rows of a skip block.
+#: Rows of an index list in a cell, and rows of a skip block.
 CELL, BLOCK = 1000, 32
 #: n-grams that go last in the order: at most so many, in at least LOCAL texts of a block somewhere.
 HEAVY, LOCAL = 100_000, 8
@@ -47,8 +49,8 @@ HEAVY, LOCAL = 100_000, 8
 BITS = 512
 #: Ids of documents to verify that are sent to every executor; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Pairs that the kernel of the lists holds at once.
-PAIRS = 1 << 20
+#: Pairs, and rows, that the kernel of the lists holds at once.
+PAIRS, HELD = 1 << 20, 200_000
 TOP = np.int64(1) << 62
 
 
@@ -187,118 +189,182 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
     return two.filter(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
 
 
-def match_lists(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, hits) from cells of index lists: rows (gram, i, j, side, id, n, pos, comp, bits), one match per gram.
+#: Columns of a row of the kernel of the lists, before its bitmap.
+ROW = ("top", "i", "j", "gram", "side", "id", "n", "pos", "comp")
+
+
+def _cuts(x: dict[str, np.ndarray], names: tuple[str, ...]) -> np.ndarray:
+    """Flags of the rows where one of the named columns changes."""
+    new = np.ones(len(x["gram"]), bool)
+    new[1:] = np.logical_or.reduce([x[c][1:] != x[c][:-1] for c in names])
+    return new
+
 
-    Pairs are of different components and opposite sides (side 2: any).  Cells must be whole in a partition
-    and ordered by (gram, i, j, n).
+def list_pairs(x: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of the lists of x that positions and sizes allow, in portions of about PAIRS.
+
+    A list is the rows of one (top, i, j, gram), ascending in n.  Pairs are of different components and opposite
+    sides (side 2: any).
+    """
+    new = _cuts(x, ("top", "i", "j", "gram"))
+    cell = np.cumsum(new) - 1
+    bounds = np.append(np.flatnonzero(new), len(new))
+    rank = np.arange(len(new)) - bounds[cell]
+    # skip blocks: BLOCK rows of one list, with the least and largest size and position
+    cut = new | (rank % BLOCK == 0)
+    head = np.flatnonzero(cut)
+    block = np.cumsum(cut) - 1
+    tail = np.append(head[1:], len(new))
+    n_low, n_high = x["n"][head], x["n"][tail - 1]
+    p_low, p_high = np.minimum.reduceat(x["pos"], head), np.maximum.reduceat(x["pos"], head)
+    last_block = block[bounds[cell + 1] - 1]
+    many = last_block - block + 1
+    upto = np.cumsum(many)
+    start = 0
+    while start < len(many):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS // BLOCK, side="right")))
+        row = np.repeat(np.arange(start, stop), many[start:stop])
+        k = np.arange(len(row)) - np.repeat(np.append(0, np.cumsum(many[start:stop]))[:-1], many[start:stop])
+        blk = block[row] + k
+        n, p = x["n"][row], x["pos"][row]
+        top = np.minimum(n - p, n_high[blk] - p_low[blk]) + np.minimum(p, p_high[blk])
+        fits = (n_low[blk] * percent <= n * 100) & (top >= need(n, np.maximum(n_low[blk], n), percent))
+        row, blk = row[fits], blk[fits]
+        size = tail[blk] - head[blk]
+        a = np.repeat(row, size)
+        b = np.arange(len(a)) - np.repeat(np.append(0, np.cumsum(size))[:-1], size) + np.repeat(head[blk], size)
+        good = (b > a) & (x["comp"][a] != x["comp"][b]) & ((x["side"][a] != x["side"][b]) | (x["side"][a] == 2))
+        a, b = a[good], b[good]
+        na, nb, pa_, pb = x["n"][a], x["n"][b], x["pos"][a], x["pos"][b]
+        good = np.minimum(na - pa_, nb - pb) + np.minimum(pa_, pb) >= need(na, nb, percent)
+        yield a[good], b[good]
+        start = stop
+
+
+def unit_hits(x: dict[str, np.ndarray], bits: dict[str, np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, hits) of the rows of some units: each pair once a unit, with its matches over all lists there.
+
+    ``bits`` are (id, bits) of sets; a pair of which one is not there passes without that bound.
     """
+    if not len(x["gram"]):
+        return
+    unit = np.cumsum(_cuts(x, ("top", "i", "j"))) - 1
+    ids, row, of = np.unique(x["id"], return_index=True, return_inverse=True)
+    n, m = x["n"][row], np.int64(len(ids))
+    at = np.minimum(np.searchsorted(bits["id"], ids), max(0, len(bits["id"]) - 1))
+    has = bits["id"][at] == ids if len(bits["id"]) else np.zeros(len(ids), bool)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return key, np.bincount(back, weights=np.concatenate([c for _, c in held]), minlength=len(key)).astype(np.int64)
+
+    def batch(key: np.ndarray, hits: np.ndarray) -> pa.RecordBatch:
+        low, high = key // m % m, key % m
+        return pa.record_batch([pa.array(v) for v in (ids[low], ids[high], n[low], n[high], hits)], names=["a", "b", "na", "nb", "hits"])
+
+    for a, b in list_pairs(x, percent):
+        low, high = np.minimum(of[a], of[b]), np.maximum(of[a], of[b])
+        key, hits = np.unique((unit[a] * m + low) * m + high, return_counts=True)
+        low, high = key // m % m, key % m
+        apart = np.zeros(len(key), np.int64)
+        for k in range(0, len(key), PAIRS // 8):
+            c, d = low[k : k + PAIRS // 8], high[k : k + PAIRS // 8]
+            known = has[c] & has[d]
+            c, d = at[c[known]], at[d[known]]
+            apart[k : k + PAIRS // 8][known] = np.bitwise_count(bits["bits"][c] ^ bits["bits"][d]).sum(axis=1, dtype=np.int64)
+        good = n[low] + n[high] - apart >= 2 * need(n[low], n[high], percent)
+        held.append((key[good], hits[good]))
+        if sum(len(k) for k, _ in held) > PAIRS:
+            held = [merged()]
+            if len(held[0][0]) > PAIRS // 2:
+                yield batch(*held[0])
+                held = []
+    if held:
+        yield batch(*merged())
+
 
-    def pairs_of(x: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        new = np.ones(len(x["gram"]), bool)
-        new[1:] = (np.diff(x["gram"]) != 0) | (np.diff(x["i"]) != 0) | (np.diff(x["j"]) != 0)
-        cell = np.cumsum(new) - 1
-        bounds = np.append(np.flatnonzero(new), len(new))
-        rank = np.arange(len(new)) - bounds[cell]
-        # skip blocks: rows of one cell in tens, with the least and largest size and position
-        cut = new | (rank % BLOCK == 0)
-        head = np.flatnonzero(cut)
-        block = np.cumsum(cut) - 1
-        tail = np.append(head[1:], len(new))
-        n_low, n_high = x["n"][head], x["n"][tail - 1]
-        p_low, p_high = np.minimum.reduceat(x["pos"], head), np.maximum.reduceat(x["pos"], head)
-        last_block = block[bounds[cell + 1] - 1]
-        many = last_block - block + 1
-        upto = np.cumsum(many)
-        start = 0
-        while start < len(many):
-            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS // BLOCK, side="right")))
-            row = np.repeat(np.arange(start, stop), many[start:stop])
-            k = np.arange(len(row)) - np.repeat(np.append(0, np.cumsum(many[start:stop]))[:-1], many[start:stop])
-            blk = block[row] + k
-            n, p = x["n"][row], x["pos"][row]
-            top = np.minimum(n - p, n_high[blk] - p_low[blk]) + np.minimum(p, p_high[blk])
-            fits = (n_low[blk] * percent <= n * 100) & (top >= need(n, np.maximum(n_low[blk], n), percent))
-            row, blk = row[fits], blk[fits]
-            size = tail[blk] - head[blk]
-            a = np.repeat(row, size)
-            b = np.arange(len(a)) - np.repeat(np.append(0, np.cumsum(size))[:-1], size) + np.repeat(head[blk], size)
-            good = (b > a) & (x["comp"][a] != x["comp"][b]) & ((x["side"][a] != x["side"][b]) | (x["side"][a] == 2))
-            a, b = a[good], b[good]
-            na, nb, pa_, pb = x["n"][a], x["n"][b], x["pos"][a], x["pos"][b]
-            good = np.minimum(na - pa_, nb - pb) + np.minimum(pa_, pb) >= need(na, nb, percent)
-            a, b = a[good], b[good]
-            for k in range(0, len(a), PAIRS // 8):
-                c, d = a[k : k + PAIRS // 8], b[k : k + PAIRS // 8]
-                apart = np.bitwise_count(x["bits"][c] ^ x["bits"][d]).sum(axis=1, dtype=np.int64)
-                total = x["n"][c] + x["n"][d]
-                good = total - apart >= 2 * need(x["n"][c], x["n"][d], percent)
-                yield c[good], d[good]
-            start = stop
+def match_lists(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, hits) from units of index lists: rows (top, i, j, gram, side, id, n, pos, comp, bits).
+
+    Rows of gram -1 bring a set's bitmap to a unit.  Units must be whole in a partition and ordered by
+    (top, i, j, gram, n).  A unit is held up to HELD rows and then goes on from its next list, so a pair may come
+    in portions, which are added up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        names = ("gram", "i", "j", "side", "id", "n", "pos", "comp")
-
-        def done(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for a, b in pairs_of(x):
-                if len(a):
-                    low, high = np.minimum(x["id"][a], x["id"][b]), np.maximum(x["id"][a], x["id"][b])
-                    first = x["id"][a] == low
-                    n_low, n_high = np.where(first, x["n"][a], x["n"][b]), np.where(first, x["n"][b], x["n"][a])
-                    order = np.lexsort((high, low))
-                    low, high, n_low, n_high = low[order], high[order], n_low[order], n_high[order]
-                    new = np.append(True, (np.diff(low) != 0) | (np.diff(high) != 0))
-                    at = np.flatnonzero(new)
-                    hits = np.diff(np.append(at, len(low)))
-                    yield pa.record_batch([pa.array(v) for v in (low[at], high[at], n_low[at], n_high[at], hits)], names=["a", "b", "na", "nb", "hits"])
+        held: dict[str, np.ndarray] | None = None
+        bits = {"id": np.zeros(0, np.int64), "bits": np.zeros((0, BITS // 64), np.uint64)}
+
+        def done(x: dict[str, np.ndarray], more: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal bits
+            yield from unit_hits(x, bits, percent)
+            if not more:  # the bitmaps go when no unit is open
+                bits = {c: v[:0] for c, v in bits.items()}
 
         for batch in batches:
             if not len(batch):
                 continue
-            x = {c: np.asarray(batch.column(k)).astype(np.int64) for k, c in enumerate(names)}
-            x["bits"] = np.frombuffer(b"".join(batch.column(len(names)).to_pylist()), np.uint64).reshape(len(batch), BITS // 64)
+            x = {c: np.asarray(batch.column(k)).astype(np.int64) for k, c in enumerate(ROW)}
+            mark = x["gram"] < 0
+            if mark.any():
+                packed = pc.filter(batch.column(len(ROW)), pa.array(mark)).to_pylist()
+                own = {"id": x["id"][mark], "bits": np.frombuffer(b"".join(packed), np.uint64).reshape(len(packed), BITS // 64)}
+                room = max(0, HELD - len(bits["id"]))  # beyond it pairs pass without this bound
+                every = np.concatenate([bits["id"], own["id"][:room]])
+                ids, first = np.unique(every, return_index=True)
+                bits = {"id": ids, "bits": np.concatenate([bits["bits"], own["bits"][:room]])[first]}
+            x = {c: v[~mark] for c, v in x.items()}
             if held is not None:
                 x = {c: np.concatenate([held[c], v]) for c, v in x.items()}
-            # the last cell may go on in the next batch
-            same = (x["gram"] == x["gram"][-1]) & (x["i"] == x["i"][-1]) & (x["j"] == x["j"][-1])
-            cut = len(same) - int(same.sum())
+            if not len(x["gram"]):
+                continue
+            # the last unit may go on in the next batch
+            names = ("top", "i", "j") if len(x["gram"]) <= HELD else ("top", "i", "j", "gram")
+            cut = int(np.flatnonzero(_cuts(x, names))[-1])
             held = {c: v[cut:] for c, v in x.items()}
             if cut:
-                yield from done({c: v[:cut] for c, v in x.items()})
+                yield from done({c: v[:cut] for c, v in x.items()}, True)
         if held is not None:
-            yield from done(held)
+            yield from done(held, False)
 
-    found = rows.mapInArrow(run, "a long, b long, na long, nb long, hits long")
+    found = common.in_batches(rows).mapInArrow(run, "a long, b long, na long, nb long, hits long")
     return found.groupBy("a", "b", "na", "nb").agg(F.sum("hits").alias("hits"))
 
 
-def cells(postings: DataFrame, lists: DataFrame) -> DataFrame:
-    """Postings of lists with several components, dealt to cells (gram, i, j) with a side.
+def units(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of ``match_lists`` from the postings (gram, id, n, pos, comp) of lists with several components.
 
-    ``lists`` are (gram, size).  A list of at most CELL rows is one cell.  Of a longer one, the largest
-    component is cut into parts, each of which meets a copy of the rest; and the rest, in parts, meets itself.
+    The lists with the same largest component, ``top``, make one unit, as near copies share many lists: a pair
+    then meets in few units.  Where one of those lists is longer than CELL, the sets of the largest component are cut into
+    parts, each of which meets a copy of the rest; and the rest, in parts, meets itself.  The parts are by id, so
+    they are the same in all lists of a unit.  ``sets`` have (id, bits); each bitmap goes once to a unit.
     """
-    short = lists.filter(F.col("size") <= CELL).select("gram")
-    plain = postings.join(short, "gram", "left_semi").select("gram", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "id", "n", "pos", "comp")
-    long = lists.filter(F.col("size") > CELL)
-    if long.isEmpty():
-        return plain
-    hot = postings.join(long, "gram")
-    biggest = hot.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "comp")).alias("top"))
-    met = hot.join(biggest, "gram").withColumn("mine", F.col("comp") == F.col("top.comp"))
-    parts, rest = F.ceil(F.col("top.c") / CELL).cast("int"), F.ceil((F.col("size") - F.col("top.c")) / CELL).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    other = F.pmod(F.xxhash64("id"), rest).cast("int")
+    tops = shared.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("size"))
+    tops = common.written(tops.select("gram", F.col("m.comp").alias("top"), F.col("m.c").alias("c"), "size"), "tops")
+    placed = common.written(shared.join(tops.select("gram", "top"), "gram"), "placed")
+    large = tops.groupBy("top").agg(F.max("c").alias("c"), F.max(F.col("size") - F.col("c")).alias("rest"), F.max("size").alias("size")).filter(F.col("size") > CELL)
+    large = large.select("top", F.ceil(F.col("c") / CELL).cast("int").alias("parts"), F.ceil(F.col("rest") / CELL).cast("int").alias("rests"))
+    own, other = F.pmod(F.xxhash64("id"), "parts").cast("int"), F.pmod(F.xxhash64("id"), "rests").cast("int")
 
     def cell(i, j, side):
-        return F.struct(F.lit(i).alias("i") if isinstance(i, int) else i.alias("i"), j.alias("j"), side.alias("side"))
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    zero, one, any_ = F.lit(0), F.lit(1), F.lit(2)
+    inside = F.array(cell(F.lit(-1), own, zero))
+    beside = F.transform(F.sequence(zero, F.col("parts") - 1), lambda k: cell(F.lit(-1), k, one))
+    among = F.transform(F.sequence(zero, F.col("rests") - 1), lambda k: cell(F.least(k, other), F.greatest(k, other), F.when(k == other, any_).when(other < k, zero).otherwise(one)))
+    whole = F.array(cell(zero, zero, any_))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        cells = F.when(F.col("parts").isNull(), whole).when(F.col("comp") == F.col("top"), inside).otherwise(F.concat(beside, among))
+        return rows.join(large, "top", "left").withColumn("cell", F.explode(cells)).select("cell.i", "cell.j", "cell.side", *rows.columns)
 
-    inside = F.array(cell(-1, own, F.lit(0)))
-    beside = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: cell(-1, k, F.lit(1)))
-    among = F.transform(F.sequence(F.lit(0), rest - 1), lambda k: cell(F.least(k, other), F.greatest(k, other), F.when(k == other, F.lit(2)).when(other < k, F.lit(0)).otherwise(F.lit(1))))
-    dealt = met.withColumn("cell", F.explode(F.when(F.col("mine"), inside).otherwise(F.concat(beside, among))))
-    return plain.unionByName(dealt.select("gram", "cell.i", "cell.j", "cell.side", "id", "n", "pos", "comp"))
+    postings = dealt(placed).withColumn("bits", F.lit(None).cast("binary"))
+    maps = dealt(placed.select("top", "id", "comp").distinct()).join(sets.select("id", "bits"), "id")
+    maps = maps.withColumns({"gram": F.lit(-1).cast("long"), "n": F.lit(0).cast("long"), "pos": F.lit(0)})
+    rows = postings.select(*ROW, "bits").unionByName(maps.select(*ROW, "bits"))
+    return rows.repartition("top", "i", "j").sortWithinPartitions("top", "i", "j", "gram", "n")
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,11 +396,9 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     full = index.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("comp"), "bits", "prefix")
     full = common.written(full, "components")
     postings = full.select("id", "n", "comp", F.posexplode("prefix").alias("pos", "gram"))
-    lists = postings.groupBy("gram").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("gram", "size")
-    # the bitmaps join the few postings that are left, so the shuffles before do not carry them
-    dealt = cells(postings, common.written(lists, "lists")).join(full.select("id", "bits"), "id")
-    dealt = dealt.select("gram", "i", "j", "side", "id", "n", "pos", "comp", "bits").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n")
-    hits = match_lists(dealt, percent)
+    lists = postings.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("gram")
+    shared = postings.join(lists.select("gram"), "gram", "left_semi").select("gram", "id", "n", "pos", "comp")
+    hits = match_lists(units(common.written(shared, "shared"), full), percent)
     seen = lambda n: F.col(n) - F.least(F.col(n), F.floor(F.col(n) * (100 - percent) / 100) + ELL)  # noqa: E731  n-grams after the prefix
     overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     enough = F.col("hits") >= F.greatest(F.lit(ELL), overlap - F.greatest(seen("na"), seen("nb")))
