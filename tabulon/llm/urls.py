@@ -2,11 +2,15 @@
 
 Two variable-order Markov models over bytes are counted from all URLs that a rule decides: one for allowed,
 one for blocked URLs.  A position is counted once, as the packed gram of its symbol and the ``ORDER`` before
-it; the lower orders are margins of those counts.  A context is used only where it was seen often enough
-(``total symbols / MAX_CONTEXTS``, at least 2), so the order adapts to the corpus and a model has at most
-MAX_CONTEXTS contexts of each order at any input size: that is the proven bound of what is broadcast.
+it; the lower orders are margins of those counts.  A context is used where it was seen at least ``LEAST`` times,
+whatever the size of the corpus, so the models grow with the input and stay distributed tables.
 Probabilities interpolate all orders with Witten-Bell weights, down to the uniform distribution.
 
+URLs are scored by their distinct grams: rows are numbered in blocks, a block names each of its grams once, the
+ratio of each distinct gram is looked up through the orders (a gram of one order meets the one without its oldest
+symbol, at most SYMBOLS to one), and the ratios go back to the blocks that named the gram.  So a gram that every
+URL has is a row for each block, not for each URL.
+
 A URL's score is (log P_allowed - log P_blocked) / length.  The threshold is calibrated on a fold of the
 labelled URLs that is not counted (a fifth, by a hash of the URL): the score with the best balanced accuracy.
 """
@@ -22,8 +26,10 @@ from tabulon.llm import common
 
 #: Symbols before the predicted one; packed grams have 7 bits a symbol.
 ORDER, BITS, SYMBOLS = 5, 7, 96
-#: Contexts of one order and class; each has at most SYMBOLS entries of 16 bytes.
-MAX_CONTEXTS = 4096
+#: Sightings from which on a context is used, at any size of the corpus.
+LEAST = 2
+#: Rows of a block that is scored at once, as a power of two.
+BLOCK_POWER = 14
 #: Steps of the calibration histogram, in a nat.
 STEPS, LIMIT = 1000, 20
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -64,75 +70,84 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_grams(labelled: DataFrame) -> DataFrame:
-    """(allowed, gram, n) over all rows of (allowed, text); each block is counted before the shuffle."""
+    """(gram, good, bad) over all rows of (allowed, text): sightings in both classes; each block is counted before the shuffle."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         grams, at = _grams(batch.column(1))
         allowed = np.repeat(np.asarray(batch.column(0).fill_null(False)).astype(np.int64), np.diff(at))
         keys, n = np.unique(grams << 1 | allowed, return_counts=True)
-        return pa.record_batch([pa.array((keys & 1).astype(bool)), pa.array(keys >> 1), pa.array(n.astype(np.int64))], names=["allowed", "gram", "n"])
-
-    parts = common.map_text(labelled.select("allowed", "text"), kernel, "allowed boolean, gram long, n long")
-    return parts.groupBy("allowed", "gram").agg(F.sum("n").alias("n"))
-
-
-class CharModel:
-    """Witten-Bell interpolated variable-order model; from rows (order, gram, n) whose contexts are used."""
-
-    def __init__(self, orders: np.ndarray, grams: np.ndarray, n: np.ndarray):
-        self.tables = []
-        for k in range(ORDER + 1):
-            mine = orders == k
-            by = np.argsort(grams[mine], kind="stable")
-            g, c = grams[mine][by], n[mine][by].astype(float)
-            if not len(g):
-                break
-            contexts, first = np.unique(g >> BITS, return_index=True)
-            kinds = np.diff(np.append(first, len(g))).astype(float)
-            self.tables.append((contexts, np.add.reduceat(c, first), kinds, g, c))
-
-    def log_probability(self, grams: np.ndarray) -> np.ndarray:
-        p = np.full(len(grams), 1.0 / SYMBOLS)
-        for k, (contexts, total, kinds, entries, n) in enumerate(self.tables):
-            gram = grams & ((1 << (BITS * (k + 1))) - 1)
-            at = np.minimum(np.searchsorted(contexts, gram >> BITS), len(contexts) - 1)
-            used = contexts[at] == gram >> BITS
-            e = np.minimum(np.searchsorted(entries, gram), len(entries) - 1)
-            seen = np.where(entries[e] == gram, n[e], 0.0)
-            p = np.where(used, (seen + kinds[at] * p) / (total[at] + kinds[at]), p)
-        return np.log(p)
-
-
-def fit(labelled: DataFrame) -> dict[bool, CharModel]:
-    """Models of both classes from rows (allowed, text)."""
-    top = common.written(count_grams(labelled), "url-grams")
-    least = F.greatest(F.lit(2), F.ceil(F.sum("n") / MAX_CONTEXTS)).alias("least")
-    least_of = {r["allowed"]: r["least"] for r in top.groupBy("allowed").agg(least).collect()}
-    masks = F.array(*(F.struct(F.lit(k).alias("order"), F.lit((1 << (BITS * (k + 1))) - 1).cast("long").alias("mask")) for k in range(ORDER + 1)))
-    margin = top.select("allowed", "n", "gram", F.explode(masks).alias("o")).groupBy("allowed", F.col("o.order").alias("order"), F.col("gram").bitwiseAND(F.col("o.mask")).alias("gram")).agg(F.sum("n").alias("n"))
-    margin = margin.withColumn("context", F.shiftright("gram", BITS))
-    limit = F.when(F.col("allowed"), F.lit(int(least_of.get(True, 2)))).otherwise(F.lit(int(least_of.get(False, 2))))
-    kept = margin.groupBy("allowed", "order", "context").agg(F.sum("n").alias("seen"), F.collect_list(F.struct("gram", "n")).alias("entries")).filter(F.col("seen") >= limit)
-    rows = kept.select("allowed", "order", F.explode("entries").alias("e")).select("allowed", "order", "e.gram", "e.n").toPandas()
-    return {c: CharModel(*(rows.loc[rows["allowed"] == c, x].to_numpy() for x in ("order", "gram", "n"))) for c in (True, False)}
-
-
-def score(df: DataFrame, models: dict[bool, CharModel], text: str = "text") -> DataFrame:
+        return pa.record_batch([pa.array(keys >> 1), pa.array(n * (keys & 1)), pa.array(n * (1 - (keys & 1)))], names=["gram", "good", "bad"])
+
+    parts = common.map_text(labelled.select("allowed", "text"), kernel, "gram long, good long, bad long")
+    return parts.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+def fit(labelled: DataFrame) -> DataFrame:
+    """The models of both classes from rows (allowed, text): the counts of all full grams."""
+    return common.written(count_grams(labelled), "url-grams")
+
+
+def _mask(order: int) -> int:
+    return (1 << (BITS * (order + 1))) - 1
+
+
+def gram_ratios(wanted: DataFrame, models: DataFrame) -> DataFrame:
+    """(gram, ratio) for the distinct full grams of ``wanted``: log P_allowed - log P_blocked."""
+    zero = F.lit(0).cast("long")
+    base = models.select("gram", "good", "bad", F.lit(False).alias("asked")).unionByName(wanted.select("gram", zero.alias("good"), zero.alias("bad"), F.lit(True).alias("asked")))
+    masks = F.array(*(F.struct(F.lit(k).alias("order"), F.lit(_mask(k)).cast("long").alias("mask")) for k in range(ORDER + 1)))
+    full = base.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("asked").alias("asked"))
+    each = full.select("good", "bad", "asked", "gram", F.explode(masks).alias("o"))
+    margin = each.groupBy(F.col("o.order").alias("order"), F.col("gram").bitwiseAND(F.col("o.mask")).alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("asked").alias("asked"))
+    # a context has at most SYMBOLS entries
+    met = margin.groupBy("order", F.shiftright("gram", BITS).alias("context")).agg(
+        *(f(c) for c in ("good", "bad") for f in (lambda c: F.sum(c).alias(f"all_{c}"), lambda c: F.sum((F.col(c) > 0).cast("long")).alias(f"kinds_{c}"))),
+        F.collect_list(F.when(F.col("asked"), F.struct("gram", "good", "bad"))).alias("entries"),
+    )
+    rows = met.select("order", "all_good", "kinds_good", "all_bad", "kinds_bad", F.explode("entries").alias("e")).select("*", "e.gram", "e.good", "e.bad").drop("e")
+    rows = common.written(rows, "url-contexts")
+    found = None
+    for k in range(ORDER + 1):
+        mine = rows.filter(F.col("order") == k)
+        if found is None:
+            lower = mine.withColumns({"p_good": F.lit(1.0 / SYMBOLS), "p_bad": F.lit(1.0 / SYMBOLS)})
+        else:
+            lower = mine.withColumn("short", F.col("gram").bitwiseAND(F.lit(_mask(k - 1)).cast("long"))).join(found.withColumnRenamed("gram", "short"), "short")
+
+        def p(c: str, lower: DataFrame = lower) -> F.Column:
+            total, kinds = lower[f"all_{c}"], lower[f"kinds_{c}"]
+            return F.when(total >= LEAST, (lower[c] + kinds * lower[f"p_{c}"]) / (total + kinds)).otherwise(lower[f"p_{c}"]).alias(f"p_{c}")
+
+        found = lower.select("gram", p("good"), p("bad"))
+    return found.select("gram", (F.log("p_good") - F.log("p_bad")).alias("ratio"))
+
+
+def score(df: DataFrame, models: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with a column score, the length-normalised log-likelihood difference; 0 for an empty text."""
-    sent = df.sparkSession.sparkContext.broadcast(models)
     names = [c for c in df.columns if c not in (text, "score")]
-    ordered = df.select(names[0], text, *names[1:])
-    places = [0, *range(2, len(names) + 1)]
+    # the blocks are fixed by writing them: a repeated task finds the same rows in them
+    placed = common.written(df.select(F.shiftright(F.monotonically_increasing_id(), BLOCK_POWER).alias("__block"), F.col(text).alias("__text"), *names), "url-blocks")
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
         grams, at = _grams(batch.column(1))
-        ratio = sent.value[True].log_probability(grams) - sent.value[False].log_probability(grams)
+        block = np.repeat(np.asarray(batch.column(0)), np.diff(at))
+        ids, of = np.unique(block, return_inverse=True)
+        keys = np.unique(of.astype(np.int64) << (BITS * (ORDER + 1)) | grams)
+        return pa.record_batch([pa.array(ids[keys >> (BITS * (ORDER + 1))], pa.int64()), pa.array(keys & _mask(ORDER))], names=["__block", "gram"])
+
+    asked = common.written(common.map_text(placed.select("__block", "__text"), named, "__block long, gram long"), "url-asked")
+    known = asked.join(gram_ratios(asked.select("gram").distinct(), models), "gram").select("__block", "gram", "ratio")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams, at = _grams(left.column("__text").combine_chunks())
+        keys, first = np.unique(right.column("gram").to_numpy(), return_index=True)
+        ratio = right.column("ratio").to_numpy()[first][np.searchsorted(keys, grams)] if len(keys) else np.zeros(0)
         total = np.append(0.0, np.cumsum(ratio))
         value = (total[at[1:]] - total[at[:-1]]) / np.maximum(np.diff(at), 1)
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(np.round(value, 9))], names=[*names, "score"])
+        return left.select(names).append_column("score", pa.array(np.round(value, 9)))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
-    return common.map_text(ordered, kernel, f"{schema}, score double")
+    return placed.groupBy("__block").cogroup(known.groupBy("__block")).applyInArrow(kernel, f"{schema}, score double")
 
 
 def calibrate(scored: DataFrame) -> float:

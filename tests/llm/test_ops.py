@@ -141,6 +141,20 @@ def test_url_model(spark):
         assert abs(row["score"] - (want[0] - want[1]) / len(text.encode())) < 1e-6
 
 
+def test_url_model_keeps_rare_contexts_of_a_larger_corpus(spark, monkeypatch):
+    monkeypatch.setattr(urls, "BLOCK_POWER", 3, raising=False)
+    draw = random.Random(6)
+    made = lambda end: "".join(draw.choice("abcde") for _ in range(7)) + end
+    good, bad = [made(".org/fr/") for _ in range(900)], [made(".net/de/") for _ in range(900)]
+    models = urls.fit(spark.createDataFrame([(True, t) for t in good] + [(False, t) for t in bad], "allowed boolean, text string"))
+    probe = [good[0], bad[1], good[2][:7], "abcabca.org", "q", "", None] + good[3:30] + bad[3:30]
+    got = {r["page_id"]: r["score"] for r in urls.score(spark.createDataFrame(list(enumerate(probe)), "page_id int, text string"), models).collect()}
+    assert len(got) == len(probe) and got[5] == got[6] == 0
+    for i, text in enumerate(probe[:5]):
+        want = slow_log_probability([(t, 1) for t in good], text, 2) - slow_log_probability([(t, 1) for t in bad], text, 2)
+        assert abs(got[i] - want / len(text)) < 1e-6
+
+
 def test_url_filter(spark):
     schema = "page_id long, url string, html string, score string, rule int"
     given = ["http://A.example.NET/en/1?x", "http://z.net", "http://z.net/", "https://b.example.com/de/#t", "x://q.org/fr/", "http://org.com/fr/", None, "nothing", "", "a://b://c.net/d", "http://notexample.net/en/", "ftp://x.net?y/en/"]
