@@ -14,6 +14,8 @@ from tabulon.llm import bpe, common, dedup, langid, mixing, ngram_join
 
 #: A text stays where its main language has at least this share of its letters.
 LEAST_SHARE = 0.3
+#: Near copies share this many percent of their shingles of so many words.
+SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar texts the row with the least id stays."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, SHINGLE_WORDS, SHINGLE_PERCENT)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,28 @@ def test_stages_on_nothing(spark):
     for _, stage in cp.STAGES:
         docs = common.written(stage(spark, docs, ""), "t")
     assert docs.count() == 0
+
+
+def test_near_copies_of_five_words_and_80_percent(spark):
+    draw = random.Random(12)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    sets, rows = [], []
+    for _ in range(8):
+        base = [word() for _ in range(200)]
+        edited = list(base)
+        for at in range(10, 200, 45):
+            edited[at] = word()
+        rows += [base, base + [word() for _ in range(draw.choice([44, 48, 49, 60]))], edited]
+    for w in rows:
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    shares = [(100 * len(a & b) / len(a | b), i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])]
+    assert sum(80 <= s < 85 for s, _, _ in shares) >= 5 and any(60 < s < 80 for s, _, _ in shares)
+    for s, i, j in shares:
+        if s >= 80:
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(rows)], DOCS)
+    got = {r["doc_id"] for r in dict(cp.STAGES)["near_copies"](spark, docs, "").collect()}
+    assert got == {i for i in range(len(rows)) if find(i) == i}
