@@ -4,6 +4,8 @@ Every source s has a target share w_s of ``epochs`` times the rows of the input,
 be repeated ``rate = w_s * epochs * N / n_s`` times on average.  Each document draws a uniform number from a
 hash of its id and the seed and inverts the Poisson distribution with that mean: the count is a function of
 (id, seed, rate) alone, so a lost executor, another partitioning or a second run gives the same result.
+A rate over ``MAX_RATE`` is split: a Poisson number with mean r is the sum of k independent ones with mean r / k,
+each from a uniform number of its own, so no rate is cut and the distribution stays short.
 The rows are exploded by their counts and dealt to partitions by a hash of (id, replica, seed), and sorted by
 it within each: a global shuffle with one exchange, without the sampling pass of a range partitioning.
 """
@@ -20,8 +22,10 @@ from tabulon.llm import common
 
 #: Sources whose rates go to every executor; beyond that they are joined by a shuffle (which AQE splits where skewed).
 BROADCAST_SOURCES = 20_000
-#: Most thresholds of the distribution, so that a rate is bounded too.
+#: The largest mean that is drawn at once, so that the thresholds of a distribution are few; more is drawn in parts.
 MAX_RATE = 2000.0
+#: Replicas that one row is exploded into at once.
+REPLICAS = 1000
 
 
 def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, alpha: float, epochs: float) -> DataFrame:
@@ -43,7 +47,7 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | N
     # 1e12ths of a unit make the sum independent of its order
     total = sizes.agg(F.sum("n").alias("rows"), F.sum("w").alias("all_w"))
     rate = F.col("w") / F.col("all_w") * F.lit(epochs) * F.col("rows") / F.col("n")
-    return sizes.crossJoin(F.broadcast(total)).select("__source", F.when(F.col("all_w") > 0, F.least(rate, F.lit(MAX_RATE))).otherwise(0.0).alias("rate"))
+    return sizes.crossJoin(F.broadcast(total)).select("__source", F.when(F.col("all_w") > 0, rate).otherwise(0.0).alias("rate"))
 
 
 def thresholds(rate: F.Column) -> F.Column:
@@ -59,9 +63,10 @@ def thresholds(rate: F.Column) -> F.Column:
     return F.when(rate > 0, grown).otherwise(F.array(F.lit(2.0)))
 
 
-def uniform(id_col: F.Column, seed: int) -> F.Column:
-    """52 bits of the MD5 of seed and id, as a number in [0, 1)."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+def uniform(id_col: F.Column, seed: int, part: F.Column) -> F.Column:
+    """52 bits of the MD5 of seed, part and id, as a number in [0, 1); part 0 is left out."""
+    label = F.concat(F.lit(str(seed)), F.when(part == 0, "").otherwise(F.concat(F.lit("/"), part.cast("string"))), F.lit(":"))
+    return F.conv(F.substring(F.md5(F.concat(label, F.coalesce(id_col.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
 def poisson_mix(
@@ -75,12 +80,18 @@ def poisson_mix(
     """
     if not (math.isfinite(epochs) and epochs >= 0):
         raise ValueError("epochs is finite and not negative")
-    rates = source_rates(docs, source_col, weights, alpha, epochs).select("__source", thresholds(F.col("rate")).alias("__cdf"))
+    rates = source_rates(docs, source_col, weights, alpha, epochs)
+    rates = rates.withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE).cast("int")))
+    rates = rates.select("__source", "__parts", thresholds(F.col("rate") / F.col("__parts")).alias("__cdf"))
     small = docs.select(F.col(source_col).cast("string")).agg(F.approx_count_distinct(source_col)).first()[0] <= BROADCAST_SOURCES * 0.8
     met = docs.join(F.broadcast(rates) if small else rates, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    count = F.when(F.element_at("__cdf", 1) > 1, 0).otherwise(F.size(F.filter("__cdf", lambda c: c <= uniform(F.col(id_col), seed))))
-    counted = met.withColumn("__count", count).filter("__count > 0").drop("__cdf", "__source", "replica")
-    rows = counted.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("__count") - 1))).drop("__count")
+    drawn = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda k: uniform(F.col(id_col), seed, k))
+    total = F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
+    count = F.when(F.element_at("__cdf", 1) > 1, 0).otherwise(total)
+    counted = met.withColumn("__count", count).filter("__count > 0").drop("__cdf", "__parts", "__source", "replica")
+    # in two steps, so that no row holds the numbers of all its replicas
+    rows = counted.withColumn("__from", F.explode(F.sequence(F.lit(0), F.col("__count") - 1, F.lit(REPLICAS))))
+    rows = rows.withColumn("replica", F.explode(F.sequence("__from", F.least(F.col("__from") + (REPLICAS - 1), F.col("__count") - 1)))).drop("__count", "__from")
     rows = rows.withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col), "replica"))
     return rows.repartition("__key").sortWithinPartitions("__key").drop("__key")
 

@@ -87,6 +87,15 @@ def test_mixing(spark, hard, clashing, none):
     assert abs(rate[900] - 0.5088) < 0.001 and rate[-1] > 1 - 1e-9
 
 
+def test_mixing_reaches_targets_of_small_sources(spark):
+    docs = common.written(spark.range(100_000).selectExpr("id AS doc_id", "CASE WHEN id < 10 THEN 'small' ELSE 'large' END AS source"), "t")
+    out = common.written(mixing.poisson_mix(docs, {"small": 0.5, "large": 0.5}), "t")
+    share = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    assert abs(share["small"] - 50_000) < 1200 and abs(share["large"] - 50_000) < 1200
+    each = out.filter("source = 'small'").groupBy("doc_id").agg(mixing.F.count("*").alias("n"), mixing.F.countDistinct("replica").alias("kinds"), mixing.F.max("replica").alias("last")).collect()
+    assert len(each) == len({r["n"] for r in each}) == 10 and all(abs(r["n"] - 5000) < 400 and r["kinds"] == r["n"] == r["last"] + 1 for r in each)
+
+
 # 6
 
 
