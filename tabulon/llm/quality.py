@@ -5,7 +5,8 @@ repeats.  The measures are written as a narrow table; labels join that table, no
 documented sample of labelled rows (``sample``), pairs of a good and a bad document are drawn and a linear score
 is learned so that the good one of a pair scores higher: loss log(1 + exp(-(s_good - s_bad))), fitted by Newton
 steps with a ridge.  The model only ranks, so the threshold comes from the scores' own distribution: the
-quantile of the labelled scores that cuts off the share of bad documents.  The result is a logistic curve that is
+quantile of the scores of all labelled rows, not only the sampled ones, that cuts off their share of bad documents.
+It is exact: histograms narrow the range of the scores that it lies in.  The result is a logistic curve that is
 ``CUT`` at that threshold.
 """
 
@@ -22,6 +23,8 @@ from tabulon.llm import common
 
 #: Labelled rows that the model is fitted on, and preference pairs drawn from them.
 SAMPLE, PAIRS, RIDGE = 20_000, 200_000, 1e-3
+#: Scores that the driver sorts at once, and bins of a histogram that finds fewer of them.
+HELD, BINS = 100_000, 4096
 #: Bytes of text that are measured at once; the arrays take about 100 bytes for each.
 BLOCK = 1 << 20
 #: The score at the threshold.
@@ -114,18 +117,15 @@ def expand(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ranking:
-    """score(x) = logistic(w . expand(x) + bias)."""
+    """The raw score is w . expand(x) + bias; ``sure`` says that no threshold is to be set."""
 
     weights: np.ndarray
     bias: float
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        raw = expand(x) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
+    sure: bool = False
 
 
 def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE, seed: int = 5) -> Ranking:
-    """Bradley-Terry scores from labelled measures.
+    """Bradley-Terry scores from labelled measures, before a threshold is set.
 
     With labels of one class only there are no pairs: every score is then 1 (good), 0 (bad), or CUT with no
     label at all.
@@ -134,7 +134,7 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = RIDG
     z = expand(x)
     if not len(up) or not len(down):
         sure = 500.0 if len(up) else -500.0 if len(down) else float(np.log(CUT / (1 - CUT)))
-        return Ranking(np.zeros(2 * len(NAMES)), sure)
+        return Ranking(np.zeros(2 * len(NAMES)), sure, True)
     mean, spread = z.mean(axis=0), z.std(axis=0)
     spread[spread < 1e-9] = np.inf
     z = (z - mean) / spread
@@ -149,11 +149,46 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = RIDG
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    raw = z @ w
-    low, high = np.quantile(raw, [max(0, len(down) / len(raw) - 0.5 / len(raw)), min(1, len(down) / len(raw) + 0.5 / len(raw))])
-    threshold = (low + high) / 2
     shift = w / spread
-    return Ranking(shift, float(-mean @ shift - threshold + np.log(CUT / (1 - CUT))))
+    return Ranking(shift, float(-mean @ shift))
+
+
+def nth(values: DataFrame, n: int) -> float:
+    """The n-th least (from 0) of the column raw; each round reads the table once and keeps one bin of the last."""
+    low, high = None, None
+    while True:
+        inside = values if low is None else values.filter(F.col("raw").between(F.lit(low), F.lit(high)))
+        count, low, high = inside.agg(F.count("*"), F.min("raw"), F.max("raw")).first()
+        if low == high:
+            return low
+        if count <= HELD:
+            return float(np.sort(inside.toPandas()["raw"].to_numpy())[n])
+        bin_of = F.floor((F.col("raw") - F.lit(low)) / F.lit(high - low) * BINS).cast("int")
+        for r in inside.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.min("raw").alias("low"), F.max("raw").alias("high")).orderBy("bin").collect():
+            if n < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            n -= r["n"]
+
+
+def threshold(scored: DataFrame) -> float:
+    """The exact quantile of the rows (raw, good) that cuts off the share of bad ones: the mean of its two sides."""
+    n, good = scored.agg(F.count("*"), F.sum(F.col("good").cast("long"))).first()
+    sides = []
+    for share in (max(0, (n - good - 0.5) / n), min(1, (n - good + 0.5) / n)):
+        at = share * (n - 1)
+        low = int(at)
+        sides.append((low, at - low))
+    found = {k: nth(scored.select("raw"), k) for k in {min(p + d, n - 1) for p, _ in sides for d in (0, 1)}}
+    return sum(found[p] + part * (found[min(p + 1, n - 1)] - found[p]) for p, part in sides) / 2
+
+
+def raw_score(model: Ranking) -> F.Column:
+    """The raw score of the column x."""
+    half = len(NAMES)
+    plain, root = (F.array(*(F.lit(float(v)) for v in model.weights[a : a + half])) for a in (0, half))
+    terms = F.zip_with("x", plain, lambda a, w: a * w), F.zip_with("x", root, lambda a, w: F.sqrt(F.abs(a)) * w)
+    return sum((F.aggregate(t, F.lit(0.0), lambda s, v: s + v) for t in terms), F.lit(model.bias))
 
 
 def rank(docs: DataFrame, labels: DataFrame, train: F.Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -164,14 +199,13 @@ def rank(docs: DataFrame, labels: DataFrame, train: F.Column, sample: int = SAMP
     """
     x = common.written(features(docs, id_col, text_col), "quality")
     given = labels.filter(train & F.col(label_col).isNotNull()).select(F.col("doc_id").alias("__id"), (F.col(label_col) == 1).alias("good"))
-    met = x.join(given, F.col("doc_id") == F.col("__id")).select("x", "good", F.xxhash64(F.lit(3), "doc_id").alias("draw"))
-    rows = met.orderBy("draw", "good").limit(sample).select("x", "good").toPandas()
+    met = x.join(given, F.col("doc_id") == F.col("__id"))
+    rows = met.select("x", "good", F.xxhash64(F.lit(3), "doc_id").alias("draw")).orderBy("draw", "good").limit(sample).select("x", "good").toPandas()
     values = np.stack(rows["x"].to_list()).astype(float) if len(rows) else np.zeros((0, len(NAMES)))
     model = fit(values, rows["good"].to_numpy(dtype=bool))
-    half = len(NAMES)
-    plain, root = (F.array(*(F.lit(float(v)) for v in model.weights[a : a + half])) for a in (0, half))
-    terms = F.zip_with("x", plain, lambda a, w: a * w), F.zip_with("x", root, lambda a, w: F.sqrt(F.abs(a)) * w)
-    raw = sum((F.aggregate(t, F.lit(0.0), lambda s, v: s + v) for t in terms), F.lit(model.bias))
+    raw = raw_score(model)
+    if not model.sure:
+        raw = raw - F.lit(threshold(common.written(met.select(raw.alias("raw"), "good"), "labelled-scores"))) + F.lit(float(np.log(CUT / (1 - CUT))))
     score = 1 / (1 + F.exp(-F.least(F.greatest(raw, F.lit(-500.0)), F.lit(500.0))))
     return x.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 

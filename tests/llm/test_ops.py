@@ -320,6 +320,18 @@ def test_quality(spark, hard, clashing, none):
     assert quality.rank(none, few, quality.F.lit(True)).count() == 0
 
 
+def test_quality_threshold_covers_all_labels(spark, monkeypatch):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(2, 9)))
+    docs = [(i, " ".join(w.upper() if draw.random() < (0.2 if i % 3 else 0.3) else w for w in (word() for _ in range(draw.randint(30, 60))))) for i in range(900)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(900)], "doc_id long, quality int")
+    for held in (1000, 40):
+        monkeypatch.setattr(quality, "HELD", held, raising=False)
+        monkeypatch.setattr(quality, "BINS", 8, raising=False)
+        out = quality.rank(spark.createDataFrame(docs, "doc_id long, text string"), labels, quality.F.lit(True), sample=60).collect()
+        assert sum(r["predicted"] == 0 for r in out) == 300
+
+
 # 2
 
 
