@@ -2,13 +2,18 @@
 
 Media are RIFF/WAVE files with the samples as they were coded.  Decoding looks G.711 bytes up in a table of
 256 values; ADPCM blocks are decoded side by side, one numpy step for the n-th sample of all blocks of a
-batch.  The decoded 8 kHz signal is stored as 16 kHz PCM by a half-band interpolator in whole numbers, so the
-result is the same everywhere.
+batch.  The decoded 8 kHz signal becomes 16 kHz PCM by a half-band interpolator in whole numbers, so the result is
+the same everywhere; ``store_pcm`` writes it as a table.
+
+Encoding and decoding are jobs of their own with the written media between them: no stage holds two Python
+workers, and what is decoded are bytes that were read back from storage.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -130,29 +135,29 @@ def decode_all(media: list[bytes | None]) -> list[tuple[str, bytes, np.ndarray]
     return parts
 
 
-def features(codec: str, pcm: np.ndarray) -> str:
-    """Codec, number of samples, peak, mean absolute value and sign changes, all whole numbers."""
+def features(codec: str, pcm: np.ndarray, stored: bytes) -> str:
+    """Codec, number of samples, peak, mean absolute value and sign changes of the 8 kHz signal, and the CRC-32 of
+    the 16 kHz PCM: all whole numbers."""
     x = pcm.astype(np.int64)
     loud = np.abs(x)
     turns = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"{codec}:{len(x)}:{int(loud.max(initial=0))}:{int(loud.sum()) // max(1, len(x))}:{turns}"
+    return f"{codec}:{len(x)}:{int(loud.max(initial=0))}:{int(loud.sum()) // max(1, len(x))}:{turns}:{zlib.crc32(stored)}"
 
 
 def decode_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """(doc_id, media, payload, pcm, feature) of a column of WAVE files; pcm is 16 kHz, 16 bits, little-endian.
 
     Null, damaged or unknown media give null payload, pcm and feature.  A last partial ADPCM block is not
-    decoded.  Repeated rows are decoded each.  Other columns of ``df`` are not read.
+    decoded.  Repeated rows are decoded each; an empty table gives no rows.  Other columns of ``df`` are not read.
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = decode_all(batch.column(1).to_pylist())
+        pcm = [f and upsample(f[2]).tobytes() for f in found]
         return pa.record_batch(
             [
-                batch.column(0), batch.column(1),
-                pa.array([f and f[1] for f in found], pa.binary()),
-                pa.array([f and upsample(f[2]).tobytes() for f in found], pa.binary()),
-                pa.array([f and features(f[0], f[2]) for f in found], pa.string()),
+                batch.column(0), batch.column(1), pa.array([f and f[1] for f in found], pa.binary()), pa.array(pcm, pa.binary()),
+                pa.array([f and features(f[0], f[2], p) for f, p in zip(found, pcm, strict=True)], pa.string()),
             ],
             names=["doc_id", "media", "payload", "pcm", "feature"],
         )
@@ -161,17 +166,52 @@ def decode_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
     return common.map_text(given, kernel, f"doc_id {given.schema[0].dataType.simpleString()}, media binary, payload binary, pcm binary, feature string")
 
 
+def store_pcm(df: DataFrame, path: str, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """Write (doc_id, pcm, feature) of a column of WAVE files as Parquet and read it back.
+
+    The rows are those of ``decode_media``, with null pcm for what cannot be decoded.  PCM takes four bytes for a
+    G.711 byte and about seven for an ADPCM byte.
+    """
+    decode_media(df, id_col, media_col).select("doc_id", "pcm", "feature").write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def describe_media(df: DataFrame, media_col: str = "media") -> DataFrame:
+    """The other columns of ``df``, then payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    The digests of what ``decode_media`` gives, made beside the samples, so that no payload or PCM goes back to the
+    JVM.  Null, damaged or unknown media give nulls, but for the length and digest of damaged media themselves.  A
+    column of ``df`` with the name of a digest is replaced.
+    """
+    made = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    names = [n.split()[0] for n in made.split(", ")]
+    kept = [f for f in df.schema if f.name not in (media_col, *names)]
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        media = batch.column(1).to_pylist()
+        found = decode_all(media)
+        sha = lambda b: None if b is None else hashlib.sha256(b).hexdigest()
+        columns = [
+            pa.array([f and len(f[1]) for f in found], pa.int64()), pa.array([f and sha(f[1]) for f in found], pa.string()),
+            pa.array([f and zlib.crc32(f[1][-32:]) for f in found], pa.int64()), pa.array([None if m is None else len(m) for m in media], pa.int64()),
+            pa.array([sha(m) for m in media], pa.string()), pa.array([f and features(f[0], f[2], upsample(f[2]).tobytes()) for f in found], pa.string()),
+        ]
+        return pa.record_batch([batch.column(0), *columns], names=["kept", *names])
+
+    given = df.select(F.struct(F.lit(0).alias("__at"), *(F.col(f"`{f.name}`") for f in kept)).alias("kept"), F.col(media_col).alias("media"))
+    out = common.map_text(given, kernel, f"kept {given.schema[0].dataType.simpleString()}, {made}")
+    return out.select("kept.*", *names).drop("__at")
+
+
 def text_as_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8 as coded samples of a WAVE file, padded with bytes 255.
 
     The payload's length is a positive multiple of UNIT, which is whole samples of G.711 and whole ADPCM
     blocks.  The CRC-32 of the payload picks one of the three codecs, so equal texts give equal files.  Null
-    counts as empty.
+    counts as empty.  Repeated rows give a file each; an empty table gives no rows.  Other columns are not read.
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        import zlib
-
         texts = common.utf8(batch.column(1))
         padded = [t + b"\xff" * (UNIT - len(t) % UNIT if len(t) % UNIT or not t else 0) for t in texts]
         files = [wav((MULAW, ALAW, IMA)[zlib.crc32(p) % 3], p) for p in padded]
@@ -182,14 +222,5 @@ def text_as_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    stored = text_as_media(common.read(spark, sf_dir, "documents"))
-    # n_bytes travels with the id through the decoder
-    keyed = stored.select(F.struct("doc_id", "n_bytes").alias("doc_id"), "media")
-    out = decode_media(keyed)
-    return out.select(
-        F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.n_bytes").alias("n_bytes"),
-        F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substring(payload, -32)")).alias("tail_crc32"),
-        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", "feature", F.crc32("pcm")).alias("feature"),
-    )
+    media = common.written(text_as_media(common.read(spark, sf_dir, "documents")), "media")
+    return describe_media(media)

@@ -203,6 +203,72 @@ def test_audio_kernels():
         assert audio.decode_all([broken]) == [None]
 
 
+def slow_wave(payload):
+    """(media, samples) of a payload, a byte at a time."""
+    tag = (audio.MULAW, audio.ALAW, audio.IMA)[zlib.crc32(payload) % 3]
+    little = lambda v, n: v.to_bytes(n, "little")
+    ima = tag == audio.IMA
+    form = little(tag, 2) + little(1, 2) + little(8000, 4) + little(8000 * 36 // 65 if ima else 8000, 4) + little(36 if ima else 1, 2) + little(4 if ima else 8, 2) + (little(2, 2) + little(65, 2) if ima else little(0, 2))
+    body = b"WAVEfmt " + little(len(form), 4) + form + b"fact" + little(4, 4) + little(len(payload) // 36 * 65 if ima else len(payload), 4) + b"data" + little(len(payload), 4) + payload
+    media = b"RIFF" + little(len(body), 4) + body
+    if ima:
+        return media, [v for k in range(0, len(payload), 36) for v in slow_adpcm(payload[k : k + 36])]
+    out = []
+    for byte in payload:
+        if tag == audio.MULAW:
+            byte = ~byte & 255
+            size = (((byte & 15) * 2 + 33) << (byte >> 4 & 7)) * 4 - 132
+            out.append(-size if byte & 128 else size)
+        else:
+            byte ^= 0x55
+            size = (byte & 15) * 16 + 8 if not byte >> 4 & 7 else ((byte & 15) * 16 + 264) << (byte >> 4 & 7) - 1
+            out.append(size if byte & 128 else -size)
+    return media, out
+
+
+def slow_feature(payload):
+    media, x = slow_wave(payload)
+    name = {6: "alaw", 7: "mulaw", 17: "ima"}[media[20]]
+    wide = []
+    for i, v in enumerate(x):
+        a, b, c = x[max(i - 1, 0)], x[min(i + 1, len(x) - 1)], x[min(i + 2, len(x) - 1)]
+        wide += [v, max(-32768, min(32767, (9 * (v + b) - a - c + 8) // 16))]
+    stored = b"".join(v.to_bytes(2, "little", signed=True) for v in wide)
+    turns = sum((p < 0) != (q < 0) for p, q in zip(x, x[1:], strict=False))
+    return f"{name}:{len(x)}:{max(map(abs, x))}:{sum(map(abs, x)) // len(x)}:{turns}:{zlib.crc32(stored)}", stored
+
+
+def folder(spark, path, **tables):
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("which", ["hard", "clashing", "none"])
+def test_audio_query(spark, request, tmp_path, which):
+    docs = request.getfixturevalue(which)
+    rows = docs.collect()
+    got = audio.op5(spark, folder(spark, tmp_path, documents=docs)).collect()
+    want = []
+    for r in rows:
+        t = (r["text"] or "").encode()
+        p = t + b"\xff" * (-len(t) % 576 if t else 576)
+        media, _ = slow_wave(p)
+        want.append((r["doc_id"], len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), slow_feature(p)[0]))
+    assert ids(got, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature") == sorted(want, key=str)
+
+
+def test_stored_pcm(spark, tmp_path):
+    given = {1: b"abc" * 192, 2: b"x" * 576, 3: b"\x00\xff" * 288, 4: None, 5: b"RIFFbroken"}
+    files = [(i, slow_wave(p)[0] if p and len(p) == 576 else p) for i, p in given.items()]
+    out = {r["doc_id"]: r for r in audio.store_pcm(spark.createDataFrame(files, "doc_id int, media binary"), f"{tmp_path}/pcm").collect()}
+    for i in (1, 2, 3):
+        assert (out[i]["feature"], bytes(out[i]["pcm"])) == slow_feature(given[i])
+    assert out[4]["pcm"] is out[5]["pcm"] is None
+    bad = audio.describe_media(spark.createDataFrame(files[3:], "doc_id int, media binary")).orderBy("doc_id").collect()
+    assert [r["media_bytes"] for r in bad] == [None, 10] and bad[1]["payload_bytes"] is None and bad[1]["feature"] is None
+
+
 @pytest.mark.parametrize("which", ["hard", "clashing", "none"])
 def test_audio_round_trip(request, which):
     docs = request.getfixturevalue(which)
