@@ -7,6 +7,7 @@ The text operators read a pair (id, text) as Arrow batches.  A batch is cut into
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most UTF-8 bytes of text that a kernel sees at once; a single longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -31,13 +33,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset a temporary folder serves a local session, as in tests; on a cluster it is an error, as
+    executors do not see the driver's disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tabulon-"))
-        spark.conf.set("spark.checkpoint.dir", f"file://{_own_dir[0]}")
+        atexit.register(shutil.rmtree, _own_dir[0], True)
     return f"file://{_own_dir[0]}"
 
 
@@ -50,13 +58,32 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when Python ends."""
+    path = f"{shared_dir(spark)}/tabulon-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table in the shared folder and read it back.  It goes when Python ends."""
+    """Cut the lineage: write a table in the shared folder and read it back.  It goes with ``drop`` or when Python ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tabulon-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+#: Written tables by the identity of their DataFrame, which is held so that the identity stays its own.
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables whose last reader is done, that is, has been written itself."""
+    for t in tables:
+        if (held := _paths.pop(id(t), None)) is not None:
+            _remove(t.sparkSession, held[1])
 
 
 #: Ids that are sent to every executor; beyond that they meet the rows in a shuffle.
@@ -112,7 +139,12 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def map_text(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = BLOCK_BYTES) -> DataFrame:
+def keyed(given: DataFrame, rest: str, name: str = "doc_id") -> T.StructType:
+    """The schema of a kernel's result: the first column of ``given`` as it is, then ``rest``."""
+    return T.StructType([T.StructField(name, given.schema[0].dataType), *T.StructType.fromDDL(rest).fields])
+
+
+def map_text(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, limit: int = BLOCK_BYTES) -> DataFrame:
     """Apply a kernel to the blocks of a DataFrame of (id, text, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,7 +50,9 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct()
     edges = common.written(edges, "links")
     if edges.count() <= SMALL:
-        return common.written(edges.coalesce(1).mapInArrow(_joined, "node long, root long"), "roots")
+        out = common.written(edges.coalesce(1).mapInArrow(_joined, "node long, root long"), "roots")
+        common.drop(edges)
+        return out
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
@@ -63,7 +65,8 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.unionByName(edges.join(least, "v").select("v", F.col("m").alias("u")).filter("u <> v")).distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
-        edges = common.written(small.filter("u <> v").distinct(), "links")
+        before, edges = edges, common.written(small.filter("u <> v").distinct(), "links")
+        common.drop(before)
         now = mark(edges)
         if now == seen:
             break
