@@ -43,19 +43,22 @@ SCRIPTS = (
     ("Han", 0x3400, 0x4DBF), ("Han", 0x4E00, 0x9FFF), ("Hangul", 0xAC00, 0xD7A3), ("Han", 0x20000, 0x2FA1F),
 )
 OTHER = 1 + len({s for s, _, _ in SCRIPTS})
+MARK = OTHER + 1
 
 _tables: list[np.ndarray] = []
 
 
 def tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: the number of its script (0: no letter), and its simple lower-case form."""
+    """By code point: the number of its script (0: no letter, MARK: a combining mark), and its simple lower-case form."""
     if not _tables:
         lower = np.arange(0x110000, dtype=np.int32)
         letter = np.zeros(0x110000, bool)
+        mark = np.zeros(0x110000, bool)
         for i in range(0x110000):
             c = chr(i)
             kind = unicodedata.category(c)[0]
-            if kind in "LM":
+            mark[i] = kind == "M"
+            if kind == "L":
                 letter[i] = True
                 small = c.lower()
                 if len(small) == 1:
@@ -65,9 +68,7 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
         for name, first, last in SCRIPTS:
             part = script[first : last + 1]
             part[part > 0] = numbers[name]
-        # combining marks belong to the script of the letter before; alone they are no letter
-        marks = np.array([unicodedata.category(chr(i))[0] == "M" for i in range(0x300, 0x370)])
-        script[0x300:0x370][marks] = 1
+        script[mark] = MARK
         _tables.extend((script, lower))
     return _tables[0], _tables[1]
 
@@ -80,6 +81,13 @@ class Words:
         points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
         self.first = np.append(0, np.cumsum([len(t) for t in texts]))
         kinds = script[points]
+        marks = kinds == MARK
+        if marks.any():
+            # a mark is of the script of the letter before it; without one it is no letter
+            base = np.maximum.accumulate(np.where(marks, -1, np.arange(len(points))))
+            begin = np.repeat(self.first[:-1], np.diff(self.first))
+            kinds = np.where(marks, np.where(base >= begin, kinds[np.maximum(base, 0)], 0), kinds)
+            kinds[kinds == MARK] = 0
         self.n_codes = len(points)
         letter = kinds > 0
         begin, end = letter.copy(), letter.copy()
@@ -217,12 +225,15 @@ def fit(docs: DataFrame, train: F.Column, per_language: int = PER_LANGUAGE, id_c
     return Model(languages, counts, letters)
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score, spans) of every row; spans are (start, end, lang) in code points.
 
     lang_pred is the language with the most letters, ties going to the first by name; score is its share of
-    the letters.  A null text, one without letters, or a model without languages gives ``und``, score 0 and no
-    spans.  Repeated rows are labelled alike.  Other columns of ``docs`` are not read.
+    the letters.  A letter is of Unicode category L; a combining mark goes with the letter before it and is none by
+    itself.  A null text, one without letters, or a model without languages gives ``und``, score 0 and no spans.
+    Repeated rows are labelled alike; an empty table gives no rows.  A text is never cut: one of n words costs n steps
+    of the Viterbi pass, which other texts of its block share.  ``with_text`` adds the column text, as it came.  Other
+    columns of ``docs`` are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.narrow))
 
@@ -253,10 +264,11 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, id_col: st
         named = languages.take(pa.array(label.astype(np.int64))) if len(label) else pa.array([], pa.string())
         spans = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), named], ["start", "end", "lang"])
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), spans)
-        return pa.record_batch([batch.column(0), pa.array([n for p in parts for n in p[1]], pa.string()), pa.array(np.concatenate([p[2] for p in parts])), lists], names=["doc_id", "lang_pred", "score", "spans"])
+        return pa.record_batch([batch.column(0), pa.array([n for p in parts for n in p[1]], pa.string()), pa.array(np.concatenate([p[2] for p in parts])), lists, *text(batch)], names=["doc_id", "lang_pred", "score", "spans", "text"][: 4 + with_text])
 
+    text = lambda batch: [batch.column(1)] if with_text else []
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return common.map_text(given, kernel, f"doc_id {given.schema[0].dataType.simpleString()}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return common.map_text(given, kernel, common.keyed(given, "lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>" + ", text string" * with_text))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
