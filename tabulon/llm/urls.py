@@ -12,7 +12,8 @@ symbol, at most SYMBOLS to one), and the ratios go back to the blocks that named
 URL has is a row for each block, not for each URL.
 
 A URL's score is (log P_allowed - log P_blocked) / length.  The threshold is calibrated on a fold of the
-labelled URLs that is not counted (a fifth, by a hash of the URL): the score with the best balanced accuracy.
+labelled URLs that is not counted (a fifth, by a hash of the URL): the score with the best balanced accuracy.  The
+models are counted from the other four fifths.
 """
 
 from __future__ import annotations
@@ -168,14 +169,15 @@ def calibrate(scored: DataFrame) -> float:
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score): the rule's verdict, else the model's, for every row.
 
-    A null URL, or one without ://, has empty host and path and so no rule; its score is 0 and the threshold
-    decides.  Where no URL, or URLs of one class only, are decided by rules, the threshold is 0, so an
-    unscored URL is allowed.  Repeated rows are judged alike.  Other columns of ``pages`` are not read.
+    The models read whole URLs, query and fragment included.  A null URL, or one without ://, has empty host and path
+    and so no rule; the score of a null or empty one is 0 and the threshold decides.  A score at the threshold is
+    allowed.  Where no URL, or URLs of one class only, are decided by rules, the threshold is 0, so an unscored URL is
+    allowed.  Repeated rows are judged alike.  A URL of any length is scored whole.  Empty tables give no rows.  Other
+    columns of ``pages`` are not read.
     """
-    parts = pages.select(F.col(id_col).alias("page_id"), host(url_col).alias("host"), path(url_col).alias("path"))
+    parts = pages.select(F.col(id_col).alias("page_id"), host(url_col).alias("host"), path(url_col).alias("path"), F.coalesce(F.col(url_col), F.lit("")).alias("text"))
     parts = parts.withColumn("best", best_rule(rules, "host", "path")).select(
-        "page_id", "host", "path", "best.rule", F.col("best.verdict").alias("decided"), F.concat("host", "path").alias("text"),
-        (F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0).alias("fold"),
+        "page_id", "host", "path", "best.rule", F.col("best.verdict").alias("decided"), "text", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("fold"),
     )
     labelled = parts.filter("decided IS NOT NULL").select((F.col("decided") == "allow").alias("allowed"), "text", "fold")
     models = fit(labelled.filter("NOT fold"))
