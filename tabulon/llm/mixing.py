@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 
 from tabulon.llm import common
 
-#: Sources whose rates go to every executor; beyond that they are joined by a shuffle (which AQE splits where skewed).
-BROADCAST_SOURCES = 20_000
+#: Bytes of distributions that go to every executor, by their summed lengths; beyond that they are joined by a shuffle
+#: (which AQE splits where skewed).
+BROADCAST_BYTES = 32 << 20
 #: The largest mean that is drawn at once, so that the thresholds of a distribution are few; more is drawn in parts.
 MAX_RATE = 2000.0
 #: Replicas that one row is exploded into at once.
@@ -40,7 +41,7 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | N
             raise ValueError("weights are not negative")
         fields = T.StructType([T.StructField("__name", T.StringType()), T.StructField("w", T.DoubleType())])
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], fields)
-        sizes = sizes.join(F.broadcast(given) if len(weights) <= BROADCAST_SOURCES else given, F.col("__source").eqNullSafe(F.col("__name")), "left")
+        sizes = sizes.join(F.broadcast(given) if sum(len(k) + 64 for k in weights) <= BROADCAST_BYTES else given, F.col("__source").eqNullSafe(F.col("__name")), "left")
         sizes = sizes.select("__source", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
     else:
         sizes = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(alpha)))
@@ -50,9 +51,14 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | N
     return sizes.crossJoin(F.broadcast(total)).select("__source", F.when(F.col("all_w") > 0, rate).otherwise(0.0).alias("rate"))
 
 
+def last_count(rate: F.Column) -> F.Column:
+    """The largest count that the distribution with mean ``rate`` lists."""
+    return F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+
+
 def thresholds(rate: F.Column) -> F.Column:
     """P(X <= k) for k = 0, 1, ... up to where the rest is below the smallest step of the uniform numbers."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+    last = last_count(rate)
     start = F.struct((-rate).alias("l"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("all"))
 
     def step(a: F.Column, k: F.Column) -> F.Column:
@@ -71,29 +77,36 @@ def uniform(id_col: F.Column, seed: int, part: F.Column) -> F.Column:
 
 def poisson_mix(
     docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 7,
-    id_col: str = "doc_id", source_col: str = "source",
+    id_col: str = "doc_id", source_col: str = "source", replica_col: str = "replica",
 ) -> DataFrame:
-    """``docs`` with each row repeated by its Poisson count, in a global random order; adds replica (from 0).
+    """``docs`` with each row repeated by its Poisson count, in a global random order; adds ``replica_col`` (from 0).
 
-    A column of ``docs`` called ``replica`` is replaced.  A null source is a source of its own.  Rows with
-    the same id get the same count; a null id counts as the id of empty text.  An empty table stays empty.
+    A column of ``docs`` with that name is replaced; other names cannot clash, as columns are numbered in between.  A null
+    source is a source of its own.  Rows with the same id get the same count; a null id counts as the id of empty text.
+    A uniform number equal to a threshold falls above it.  Texts are not read.  An empty table stays empty.
     """
     if not (math.isfinite(epochs) and epochs >= 0):
         raise ValueError("epochs is finite and not negative")
     rates = source_rates(docs, source_col, weights, alpha, epochs)
-    rates = rates.withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE).cast("int")))
-    rates = rates.select("__source", "__parts", thresholds(F.col("rate") / F.col("__parts")).alias("__cdf"))
-    small = docs.select(F.col(source_col).cast("string")).agg(F.approx_count_distinct(source_col)).first()[0] <= BROADCAST_SOURCES * 0.8
-    met = docs.join(F.broadcast(rates) if small else rates, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    drawn = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda k: uniform(F.col(id_col), seed, k))
-    total = F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
-    count = F.when(F.element_at("__cdf", 1) > 1, 0).otherwise(total)
-    counted = met.withColumn("__count", count).filter("__count > 0").drop("__cdf", "__parts", "__source", "replica")
+    rates = rates.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE).cast("int"))).withColumn("mean", F.col("rate") / F.col("parts"))
+    rates = common.written(rates.select("__source", "parts", "mean"), "rates")
+    size = rates.agg(F.sum(8 * (last_count(F.col("mean")) + 1) + 64 + F.coalesce(F.length("__source"), F.lit(0)))).first()[0] or 0
+    rates = rates.select("__source", "parts", thresholds(F.col("mean")).alias("cdf"))
+    # numbered names in between
+    name = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    kept = [c for c in docs.columns if c != replica_col]
+    held = [name[c] for c in kept]
+    base = docs.toDF(*name.values()).select(*held, F.col(name[id_col]).alias("id"), F.col(name[source_col]).cast("string").alias("source"))
+    met = base.join(F.broadcast(rates) if size <= BROADCAST_BYTES else rates, F.col("source").eqNullSafe(F.col("__source")))
+    drawn = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: uniform(F.col("id"), seed, k))
+    total = F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u)))
+    count = F.when(F.element_at("cdf", 1) > 1, 0).otherwise(total)
+    counted = met.select(*held, "id", count.alias("n")).filter("n > 0")
     # in two steps, so that no row holds the numbers of all its replicas
-    rows = counted.withColumn("__from", F.explode(F.sequence(F.lit(0), F.col("__count") - 1, F.lit(REPLICAS))))
-    rows = rows.withColumn("replica", F.explode(F.sequence("__from", F.least(F.col("__from") + (REPLICAS - 1), F.col("__count") - 1)))).drop("__count", "__from")
-    rows = rows.withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col), "replica"))
-    return rows.repartition("__key").sortWithinPartitions("__key").drop("__key")
+    rows = counted.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(REPLICAS))))
+    rows = rows.select(*held, "id", F.explode(F.sequence("from", F.least(F.col("from") + (REPLICAS - 1), F.col("n") - 1))).alias("replica"))
+    rows = rows.select(*held, "replica", F.xxhash64(F.lit(seed), "id", "replica").alias("key")).repartition("key").sortWithinPartitions("key")
+    return rows.select(*(F.col(name[c]).alias(c) for c in kept), F.col("replica").alias(replica_col))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -102,17 +115,19 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, 0.5) AS w FROM documents GROUP BY source),
-rates AS (SELECT source, least(w / (SELECT sum(w) FROM sizes) * 1.0 * (SELECT sum(n) FROM sizes) / n, 2000.0) AS rate FROM sizes),
+rates AS (SELECT source, w / (SELECT sum(w) FROM sizes) * 1.0 * (SELECT sum(n) FROM sizes) / n AS rate FROM sizes),
+parts AS (SELECT source, greatest(1, ceil(rate / 2000.0))::INTEGER AS parts, rate / greatest(1, ceil(rate / 2000.0)) AS mean FROM rates),
 cdf AS (
-  SELECT source, rate, 0 AS k, -rate AS l, exp(-rate) AS c FROM rates
+  SELECT source, mean, 0 AS k, -mean AS l, exp(-mean) AS c FROM parts
   UNION ALL
-  SELECT source, rate, k + 1, l + ln(rate / (k + 1)), c + exp(l + ln(rate / (k + 1))) FROM cdf
-  WHERE k < ceil(rate + 12 * sqrt(rate) + 30)),
+  SELECT source, mean, k + 1, l + ln(mean / (k + 1)), c + exp(l + ln(mean / (k + 1))) FROM cdf
+  WHERE k < ceil(mean + 12 * sqrt(mean) + 30)),
+ids AS (SELECT DISTINCT doc_id, source FROM documents),
+draws AS (
+  SELECT i.doc_id, i.source, ('0x' || substr(md5('7' || CASE WHEN p.k = 0 THEN '' ELSE '/' || p.k END || ':' || coalesce(CAST(i.doc_id AS VARCHAR), '')), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM ids i JOIN parts ON parts.source IS NOT DISTINCT FROM i.source, LATERAL (SELECT unnest(range(0, parts.parts)) AS k) p),
 counted AS (
-  SELECT d.doc_id, count(*) AS n
-  FROM documents d JOIN cdf ON cdf.source = d.source
-  WHERE cdf.c <= ('0x' || substr(md5('7:' || d.doc_id), 1, 13))::BIGINT / 4503599627370496.0
-  GROUP BY d.doc_id)
+  SELECT d.doc_id, d.source, count(*) AS n FROM draws d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source WHERE cdf.c <= d.u GROUP BY d.doc_id, d.source)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, r.replica::INTEGER AS replica
-FROM documents d JOIN counted USING (doc_id), LATERAL (SELECT unnest(range(0, counted.n)) AS replica) r
+FROM documents d JOIN counted c ON c.doc_id IS NOT DISTINCT FROM d.doc_id AND c.source IS NOT DISTINCT FROM d.source, LATERAL (SELECT unnest(range(0, c.n)) AS replica) r
 """
