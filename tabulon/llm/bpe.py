@@ -6,14 +6,15 @@ holds the rank of each adjacent pair, found in a hash table of pairs.  In a roun
 pair of least rank: both matrices are compacted by one column in that row and the two pairs beside the new
 symbol are looked up.  Rows without a pair that merges leave the matrix.
 
-A piece of more than ``LONG`` bytes would need as many rounds as it has bytes, each over its whole row, so it is
-encoded by the same rule with a heap of pairs and linked neighbours instead.
+A piece of more than ``LONG`` bytes would need nearly as many rounds as it has bytes, so it is a matrix of one row in
+which a round merges all places of the least rank from left to right.  That is the same: the places do not overlap, and
+where a new pair would rank lower than the round's, the round merges the leftmost place only.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -135,32 +136,32 @@ class BytePairs:
         return out
 
     def _long(self, piece: bytes) -> np.ndarray:
-        """The same rule for one long piece: a heap of (rank, place) over linked neighbours."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        one = {}
-
-        def find(a: int, b: int) -> int:
-            if (found := one.get(a << 24 | b)) is None:
-                found = one[a << 24 | b] = int(self.pairs.find(np.array([a]), np.array([b]))[0])
-            return found
-
-        heap = [(r, i) for i in range(n - 1) if (r := find(ids[i], ids[i + 1])) < NONE]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = after[i] if ids[i] >= 0 else n
-            if j >= n or find(ids[i], ids[j]) != r:
-                continue
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                if (to := find(r, ids[after[j]])) < NONE:
-                    heapq.heappush(heap, (to, i))
-            if before[i] >= 0 and (to := find(ids[before[i]], r)) < NONE:
-                heapq.heappush(heap, (to, before[i]))
-        return np.array([i for i in ids if i >= 0], np.uint32)
+        """One long row: a round for each least rank, not for each merge."""
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        rank = self.pairs.find(ids[:-1], ids[1:])
+        while len(rank) and (least := rank.min()) < NONE:
+            at = np.flatnonzero(rank == least)
+            # of places that overlap, every second from the left
+            new = np.append(True, np.diff(at) > 1)
+            at = at[(at - at[new][np.cumsum(new) - 1]) % 2 == 0]
+            merged, pairs, lower = self._merge(ids, rank, at, least)
+            if lower and len(at) > 1:
+                merged, pairs, _ = self._merge(ids, rank, at[:1], least)
+            ids, rank = merged, pairs
+        return ids.astype(np.uint32)
+
+    def _merge(self, ids: np.ndarray, rank: np.ndarray, at: np.ndarray, new: np.int64) -> tuple[np.ndarray, np.ndarray, bool]:
+        """The row and its pair ranks after the pairs at ``at`` became ``new``, and whether a new pair ranks lower."""
+        stays = np.ones(len(ids), bool)
+        stays[at + 1] = False
+        ids = ids.copy()
+        ids[at] = new
+        ids, rank = ids[stays], np.append(rank, NONE)[stays][:-1]
+        now = at - np.arange(len(at))
+        near = np.unique(np.concatenate([now - 1, now]))
+        near = near[(near >= 0) & (near < len(rank))]
+        rank[near] = found = self.pairs.find(ids[near], ids[near + 1])
+        return ids, rank, bool((found < new).any())
 
     def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
         raw = [p.encode() for p in pieces]
@@ -235,7 +236,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         return pa.record_batch([batch.column(0), _binaries(ids.astype("<u4").view(np.uint8), 4 * at)], names=["doc_id", "ids"])
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return common.map_text(given, kernel, f"doc_id {given.schema[0].dataType.simpleString()}, ids binary")
+    return common.map_text(given, kernel, common.keyed(given, "ids binary"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -250,14 +251,26 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         return pa.record_batch([batch.column(0), batch.column(1), _binaries(flat, upto[at // 4])], names=["doc_id", "ids", "decoded"])
 
     given = encoded.select("doc_id", "ids")
-    return common.map_text(given, kernel, f"doc_id {given.schema[0].dataType.simpleString()}, ids binary, decoded binary")
+    return common.map_text(given, kernel, common.keyed(given, "ids binary, decoded binary"))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding and decoding every row."""
-    return decode(encode(docs, path, pattern), path, pattern).select(
-        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding every row and decoding its ids.
+
+    The digests of what ``encode`` and ``decode`` give, by the same tokenizer in one pass, so that neither ids nor bytes
+    go back to the JVM.  Nulls, empties, repeats and other columns as in ``encode``; a text of any length is encoded whole.
+    """
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model = tokenizer(path, pattern)
+        ids, at = model.encode(pc.fill_null(batch.column(1), "").to_pylist())
+        data, upto = model.decode(ids)
+        raw, data = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), memoryview(np.ascontiguousarray(data))
+        sums = [[hashlib.sha256(m[a:b]).hexdigest() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)] for m, cut in ((raw, 4 * at), (data, upto[at]))]
+        return pa.record_batch([batch.column(0), pa.array(np.diff(at), pa.int64()), *(pa.array(x, pa.string()) for x in sums)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return common.map_text(given, kernel, common.keyed(given, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
