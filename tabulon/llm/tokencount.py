@@ -10,9 +10,10 @@ count of the text read so far changes.  The sum of the numbers on a path is the
 States and transitions are compiled on first use and kept for the life of a Python worker, in arrays that numpy
 steps through for many rows at once.  A word boundary leads every state to the same one, so the state map of a
 chunk that begins at a boundary is one pair (count, exit).  The distinct words of a block are such chunks; the
-counts of the texts are differences of the prefix sum of their words' counts.  Long words are cut further:
-their chunks run side by side from the states that a short run-up predicts, and the scan that composes the
-chunk maps runs a chunk again wherever the prediction was not the exit of the chunk before.
+counts of the texts are differences of the prefix sum of their words' counts.  Long words are cut further: their
+chunks run side by side from the states that a short run-up predicts, which makes a state map for each chunk, and the
+maps compose pairwise, level by level, as a parallel prefix scan does.  A map holds the entry states that occur; where a
+composition asks for another one, all chunks that lack one are run from it at once.
 
 The model is sentencepiece BPE with byte fallback: a space is the mark U+2581, one is put before the text, a
 character that is no piece counts its UTF-8 bytes and separates what is around it.
@@ -36,6 +37,14 @@ CHUNK, RUN_UP = 4096, 128
 MAX_STATES = 400_000
 
 
+def word_hashes(points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each of adjacent words: a sum of random numbers, one for each place and character."""
+    with np.errstate(over="ignore"):
+        place = (np.arange(len(points)) - np.repeat(begins, ends - begins)).astype(np.uint64)
+        mixed = common.mix64((place << np.uint64(21) | points.astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
+        return np.add.reduceat(mixed, begins)
+
+
 class Merger:
     """Plain BPE by ranks over a list of characters; used to compile, never on texts."""
 
@@ -190,19 +199,36 @@ class Transducer:
         return exits, counts
 
     def scan(self, symbols: np.ndarray, weights: np.ndarray, begin: int, end: int) -> int:
-        """The count of one long word: predicted chunk maps side by side, composed in order."""
+        """The count of one long word: state maps of its chunks, composed pairwise up to the map of the word."""
         begins = np.arange(begin, end, CHUNK)
         ends = np.minimum(begins + CHUNK, end)
         start = np.full(len(begins), self.start)
-        entry, _ = self.run(symbols, weights, np.maximum(begins - RUN_UP, begin), begins, start)
-        exits, counts = self.run(symbols, weights, begins, ends, entry)
-        total, state = 0, self.start
-        for i in range(len(begins)):
-            if state != entry[i]:
-                one, again = self.run(symbols, weights, begins[i : i + 1], ends[i : i + 1], np.array([state]))
-                exits[i], counts[i] = one[0], again[0]
-            total, state = total + int(counts[i]), int(exits[i])
-        return total
+        entry = self.run(symbols, weights, np.maximum(begins - RUN_UP, begin), begins, start)[0].tolist()
+        maps: list[dict[tuple[int, int], tuple[int, int]]] = []  # by level: (block, entry state) to (exit state, count)
+
+        def apply(level: int, blocks: list[int], states: list[int]) -> list[tuple[int, int]]:
+            known, asked = maps[level], [*zip(blocks, states, strict=True)]
+            lacks = sorted({k for k in asked if k not in known})
+            if lacks and level == 0:
+                which = np.array([b for b, _ in lacks])
+                exits, counts = self.run(symbols, weights, begins[which], ends[which], np.array([s for _, s in lacks]))
+                known.update(zip(lacks, zip(exits.tolist(), counts.tolist(), strict=True), strict=True))
+            elif lacks:
+                left = apply(level - 1, [2 * b for b, _ in lacks], [s for _, s in lacks])
+                whole = [k for k, (b, _) in enumerate(lacks) if 2 * b + 1 < sizes[level - 1]]
+                right = dict(zip(whole, apply(level - 1, [2 * lacks[k][0] + 1 for k in whole], [left[k][0] for k in whole]), strict=True))
+                for k, key in enumerate(lacks):
+                    known[key] = (right[k][0], left[k][1] + right[k][1]) if k in right else left[k]
+            return [known[k] for k in asked]
+
+        sizes = [len(begins)]
+        while True:
+            level = len(maps)
+            maps.append({})
+            apply(level, [*range(sizes[level])], entry[:: 1 << level])
+            if sizes[level] == 1:
+                return apply(level, [0], [self.start])[0][1]
+            sizes.append((sizes[level] + 1) // 2)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Token counts of the texts."""
@@ -221,12 +247,15 @@ class Transducer:
         begins_here[first[:-1][lengths > 0]] = True
         begins = np.flatnonzero(begins_here)
         ends = np.append(begins[1:], len(points))
-        # one hash per word: a sum of random numbers, one for each place and character
-        with np.errstate(over="ignore"):
-            place = (np.arange(len(points)) - np.repeat(begins, ends - begins)).astype(np.uint64)
-            mixed = common.mix64((place << np.uint64(21) | points.astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
-            hashes = np.add.reduceat(mixed, begins)
+        hashes = word_hashes(points, begins, ends)
         _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        # words of one hash are compared with its first word; one that differs stands for itself
+        long, model = ends - begins, one[which]
+        at = np.arange(len(points)) + np.repeat(begins[model] - begins, long)
+        other = np.logical_or.reduceat(points[np.minimum(at, len(points) - 1)] != points, begins) | (long != long[model])
+        if other.any():
+            which[other] = len(one) + np.arange(int(other.sum()))
+            one = np.append(one, np.flatnonzero(other))
         b, e = begins[one], ends[one]
         short = e - b <= CHUNK
         counts = np.zeros(len(one), np.int64)
@@ -259,8 +288,8 @@ def transducer(path: str) -> Transducer:
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row.
 
-    Null counts as empty, and an empty text has no tokens.  Repeated rows are counted each.  Other columns of
-    ``docs`` are not read.  The model file is read on the executors, where the tokenizer package is installed.
+    Null counts as empty, and an empty text has no tokens.  Repeated rows are counted each; an empty table gives no rows.
+    A text of any length is counted whole; ``limit`` itself is not over the limit.  Other columns of ``docs`` are not read.  The model file is read on the executors, where the tokenizer package is installed.
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -270,7 +299,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
         return pa.record_batch([batch.column(0), size, pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return common.map_text(given, kernel, f"doc_id {given.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return common.map_text(given, kernel, common.keyed(given, "n_bytes long, n_tokens long, over_limit boolean"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
