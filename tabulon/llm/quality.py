@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import common
 
-#: Labelled rows that the model is fitted on, and preference pairs drawn from them.
+#: Labelled rows that the model is fitted on, as an expected number, and preference pairs drawn from them.
 SAMPLE, PAIRS, RIDGE = 20_000, 200_000, 1e-3
 #: Scores that the driver sorts at once, and bins of a histogram that finds fewer of them.
 HELD, BINS = 100_000, 4096
@@ -84,15 +84,15 @@ def measure(column: pa.Array) -> np.ndarray:
         np.maximum.at(top, t[first], many)
         out[:, 21] = top / np.maximum(words, 1)
     lb, le = common.runs(data != 10, at)
+    line = np.searchsorted(at, lb, side="right") - 1
+    lines = np.bincount(line, minlength=n)
+    out[:, 24] = np.log1p(size / np.maximum(lines, 1))
     if len(lb):
-        line = np.searchsorted(at, lb, side="right") - 1
-        lines = np.bincount(line, minlength=n)
         out[:, 22] = np.log1p(lines)
         order = np.lexsort((common.run_hashes(data, lb, le), line))
         h, t = common.run_hashes(data, lb, le)[order], line[order]
         again = np.append(False, (h[1:] == h[:-1]) & (t[1:] == t[:-1]))
         out[:, 23] = np.bincount(t, weights=again, minlength=n) / np.maximum(lines, 1)
-        out[:, 24] = np.log1p(size / np.maximum(lines, 1))
         out[:, 25] = np.bincount(line, weights=~np.isin(kinds[le - 1], (5,)), minlength=n) / np.maximum(lines, 1)
     out[:, 26] = size == 0
     return out
@@ -107,7 +107,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return pa.record_batch([batch.column(0), lists], names=["doc_id", "x"])
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return common.map_text(given, kernel, f"doc_id {given.schema[0].dataType.simpleString()}, x array<double>", limit=BLOCK)
+    return common.map_text(given, kernel, common.keyed(given, "x array<double>"), limit=BLOCK)
 
 
 def expand(x: np.ndarray) -> np.ndarray:
@@ -172,15 +172,10 @@ def nth(values: DataFrame, n: int) -> float:
 
 
 def threshold(scored: DataFrame) -> float:
-    """The exact quantile of the rows (raw, good) that cuts off the share of bad ones: the mean of its two sides."""
+    """The exact quantile of the rows (raw, good) that cuts off as many as are bad: midway between the scores beside it."""
     n, good = scored.agg(F.count("*"), F.sum(F.col("good").cast("long"))).first()
-    sides = []
-    for share in (max(0, (n - good - 0.5) / n), min(1, (n - good + 0.5) / n)):
-        at = share * (n - 1)
-        low = int(at)
-        sides.append((low, at - low))
-    found = {k: nth(scored.select("raw"), k) for k in {min(p + d, n - 1) for p, _ in sides for d in (0, 1)}}
-    return sum(found[p] + part * (found[min(p + 1, n - 1)] - found[p]) for p, part in sides) / 2
+    below, above = (nth(scored.select("raw"), k) for k in (n - good - 1, n - good))
+    return (below + above) / 2
 
 
 def raw_score(model: Ranking) -> F.Column:
@@ -195,12 +190,17 @@ def rank(docs: DataFrame, labels: DataFrame, train: F.Column, sample: int = SAMP
     """(doc_id, score, predicted) of every row of ``docs``; ``train`` says of ``labels`` rows if they may be used.
 
     Null labels are left out; an id with several labels counts each.  Null and empty texts are scored like any
-    other.  Repeated rows score alike; empty tables give no rows.  Other columns are not read.
+    other.  Repeated rows score alike; empty tables give no rows; a very long text is measured by itself.  A score at
+    the threshold is predicted 1.  The model is fitted on about ``sample`` labelled rows, twice that at most; the
+    threshold covers all.  Other columns are not read.
     """
     x = common.written(features(docs, id_col, text_col), "quality")
     given = labels.filter(train & F.col(label_col).isNotNull()).select(F.col("doc_id").alias("__id"), (F.col(label_col) == 1).alias("good"))
     met = x.join(given, F.col("doc_id") == F.col("__id"))
-    rows = met.select("x", "good", F.xxhash64(F.lit(3), "doc_id").alias("draw")).orderBy("draw", "good").limit(sample).select("x", "good").toPandas()
+    # a share of the labelled rows by a hash of the id, about ``sample`` of them; the limit holds even where one id has them all
+    n, draw = met.count(), F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30))
+    drawn = met.select("x", "good", draw.alias("draw")).filter(F.col("draw") < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
+    rows = drawn.limit(2 * sample).toPandas().sort_values(["draw", "good"], kind="stable")
     values = np.stack(rows["x"].to_list()).astype(float) if len(rows) else np.zeros((0, len(NAMES)))
     model = fit(values, rows["good"].to_numpy(dtype=bool))
     raw = raw_score(model)
