@@ -66,9 +66,74 @@ def test_exact_dedup(request, which):
     assert dedup.keep_one(docs).count() == len(groups)
 
 
+@pytest.mark.parametrize("limits", [(0, 0), (1 << 20, 1000)])
+def test_stored_snapshot_serves_several_batches(spark, tmp_path, monkeypatch, limits):
+    monkeypatch.setattr(dedup, "FILTER_BYTES", limits[0])
+    monkeypatch.setattr(dedup, "BROADCAST_DIGESTS", limits[1])
+    monkeypatch.setattr(dedup, "SHARD_KEYS", 16)
+    old = [(i, f"old text {i % 70}") for i in range(100)]
+    path = f"{tmp_path}/snapshot"
+    dedup.store_snapshot(dedup.digest_rows(spark.createDataFrame(old, "doc_id long, text string")), path)
+    for k in (0, 1):
+        batch = [(1000 + i, f"OLD text {i + 60 + 5 * k}") for i in range(30)] + [(2000 + i, f"new {i % 3}") for i in range(9)] + [(None, "new 1"), (None, None)]
+        docs = spark.createDataFrame(old + batch, "doc_id long, text string")
+        snapshot = dedup.open_snapshot(spark, path)
+        got = dedup.exact_dedup(docs, dedup.F.col("doc_id") < 1000, snapshot=snapshot).collect()
+        groups = {}
+        for i, t in old + batch:
+            groups.setdefault((t or "").lower(), []).append(i)
+        want = [(i, max((x for x in groups[(t or "").lower()] if x is not None), default=None), len(groups[(t or "").lower()])) for i, t in old + batch]
+        assert ids(got, "doc_id", "keep_id", "group_size") == sorted(want, key=str)
+        assert sum(r["kept"] for r in got) == len(groups)
+        few = dedup.screen(spark.createDataFrame([(hashlib.sha256(f"old text {i}".encode()).digest(),) for i in range(70)], "digest binary"), snapshot)
+        assert few.count() == 70
+
+
 # 3
 
 
+def slow_mix(rows, weights, epochs):
+    """Counts of (doc_id, source) by the definition, with a plain Poisson distribution."""
+    import math
+
+    size = {}
+    for _, s in rows:
+        size[s] = size.get(s, 0) + 1
+    w = {s: weights.get(s, 0.0) if weights is not None else n**0.5 for s, n in size.items()}
+    out = []
+    for i, s in rows:
+        rate = w[s] / sum(w.values()) * epochs * len(rows) / size[s]
+        parts = max(1, math.ceil(rate / 2000))
+        n = 0
+        for k in range(parts if rate > 0 else 0):
+            u = int(hashlib.md5(f"7{f'/{k}' if k else ''}:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+            mass, total = math.exp(-rate / parts), math.exp(-rate / parts)
+            j = 0
+            while total <= u:
+                j += 1
+                mass *= rate / parts / j
+                total += mass
+            n += j
+        out += [(i, s, r) for r in range(n)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 3.0, "b": 1.0, "none": 9.0}])
+@pytest.mark.parametrize("small", [0, 32 << 20])
+def test_mixing_of_hard_rows(spark, monkeypatch, hard, weights, small):
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", small)
+    names = "doc_id long, source string, __count int, __key int, __cdf int, __source int, c0 int, id int, `a.b` int, replica int, `from` int"
+    rows = [(r[0], r[3]) for r in HARD] * 5
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6, 7, 8, 9) for r in rows], names)
+    out = mixing.poisson_mix(docs, weights, epochs=1.5)
+    assert out.columns == [c for c in docs.columns if c != "replica"] + ["replica"]
+    got = out.collect()
+    assert ids(got, "doc_id", "source", "replica") == slow_mix(rows, weights, 1.5)
+    assert {(r["__count"], r["c0"], r["a.b"], r["from"]) for r in got} <= {(1, 5, 7, 9)}
+    kept = mixing.poisson_mix(docs, weights, epochs=1.5, replica_col="n").collect()
+    assert {r["replica"] for r in kept} <= {8} and ids(kept, "doc_id", "source", "n") == ids(got, "doc_id", "source", "replica")
+
+
 def test_mixing(spark, hard, clashing, none):
     assert none.transform(mixing.poisson_mix).count() == 0
     assert "replica" in clashing.transform(mixing.poisson_mix).columns
@@ -119,8 +184,8 @@ def test_preferences(spark):
 # 1
 
 
-def slow_log_probability(pairs, text, least):
-    """Witten-Bell over dictionaries; pairs are (text, 1)."""
+def slow_counts(pairs):
+    """Symbols after each context, of pairs (text, 1)."""
     code = lambda b: b - 32 if 32 < b < 127 else 95
     count = {}
     for t, _ in pairs:
@@ -130,6 +195,13 @@ def slow_log_probability(pairs, text, least):
                 c = tuple(s[i - k : i])
                 count.setdefault((k, c), {}).setdefault(s[i], 0)
                 count[k, c][s[i]] += 1
+    return count
+
+
+def slow_log_probability(count, text, least):
+    """Witten-Bell over dictionaries; ``count`` is of slow_counts, or the pairs themselves."""
+    code = lambda b: b - 32 if 32 < b < 127 else 95
+    count = count if isinstance(count, dict) else slow_counts(count)
     s, total = [0] * urls.ORDER + [code(b) for b in text.encode()], 0.0
     for i in range(urls.ORDER, len(s)):
         p = 1 / urls.SYMBOLS
@@ -174,6 +246,29 @@ def test_url_filter(spark):
     assert urls.filter_urls(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_url_query(spark, tmp_path):
+    """Models, calibration and verdicts of the query against dictionaries."""
+    draw = random.Random(4)
+    name = lambda n: "".join(draw.choice("abcdef") for _ in range(n))
+    given = [f"http://{name(4)}.net/x{name(2)}" if draw.random() < 0.4 else f"http://{name(4)}.org/fr/{name(3)}?q={name(2)}" if draw.random() < 0.6 else f"http://{name(3)}.com/{name(4)}#z" for _ in range(120)]
+    given += [None, "", "no scheme", given[0], given[0], "http://q.net/" + "ab" * 3000]
+    path = folder(spark, tmp_path, pages=spark.createDataFrame([(i, u, None) for i, u in enumerate(given)], "page_id long, url string, html string"))
+    got = {r["page_id"]: r for r in urls.op1(spark, path).collect()}
+    fold = {r[0]: r[1] for r in spark.createDataFrame([(i, u or "") for i, u in enumerate(given)], "i int, u string").selectExpr("i", "pmod(xxhash64(u), 5) = 0").collect()}
+    kind = {i: {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}.get(got[i]["rule"]) for i in got}
+    assert all((kind[i] == "block") == (".net/" in (u or "")) and (kind[i] == "allow") == (".org/fr/" in (u or "")) for i, u in enumerate(given))
+    counts = {c: [(u, 1) for i, u in enumerate(given) if kind[i] == c and not fold[i]] for c in ("allow", "block")}
+    table = {c: slow_counts(pairs) for c, pairs in counts.items()}
+    score = {i: round((slow_log_probability(table["allow"], u, 2) - slow_log_probability(table["block"], u, 2)) / len(u), 9) if u else 0.0 for i, u in enumerate(given)}
+    assert all(abs(got[i]["score"] - score[i]) < 1e-6 for i in score)
+    best = lambda t: np.mean([np.mean([(score[i] >= t) == (c == "allow") for i in score if fold[i] and kind[i] == c]) for c in ("allow", "block")])
+    reached = max(best(t) for t in [*score.values(), 99])
+    free = [i for i in got if kind[i] is None]
+    allowed, blocked = ([score[i] for i in free if got[i]["verdict"] == v] for v in ("allow", "block"))
+    assert max(blocked, default=-99) <= min(allowed, default=99) and all(got[i]["verdict"] == kind[i] for i in got if kind[i])
+    assert any(best(t) >= reached - 1e-9 for t in np.linspace(max(blocked, default=-20), min(allowed, default=20), 2001))
+
+
 # 5
 
 
@@ -305,6 +400,63 @@ def test_bpe_equals_the_library():
         assert got[at[i] : at[i + 1]].tolist() == library.encode_ordinary(t), t[:80]
 
 
+def test_long_pieces_where_a_merge_makes_a_lower_rank(tmp_path):
+    """A vocabulary in which later tokens rank lower, against merges one at a time."""
+    draw = random.Random(5)
+    for trial in range(6):
+        tokens = [bytes([b]) for b in range(256)]
+        for _ in range(60):
+            tokens.append(draw.choice(tokens[97:100] + tokens[256:]) + draw.choice(tokens[97:100] + tokens[256:]))
+        tokens = tokens[:256] + draw.sample(list(dict.fromkeys(tokens[256:])), len(set(tokens[256:])))
+        path = f"{tmp_path}/{trial}.tiktoken"
+        with open(path, "wb") as f:
+            f.writelines(base64.b64encode(t) + b" %d\n" % r for r, t in enumerate(tokens))
+        model = bpe.BytePairs(path, r"(?s).+")
+        ranks = {t: r for r, t in enumerate(tokens)}
+        for n in (300, 900):
+            piece = "".join(draw.choice("abc") for _ in range(n)).encode()
+            parts = [bytes([b]) for b in piece]
+            while True:
+                r, i = min(((ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1)), default=(1 << 40, 0))
+                if r == 1 << 40:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            assert model.encode([piece.decode()])[0].tolist() == [ranks[p] for p in parts]
+
+
+def test_token_queries(spark, hard, tmp_path):
+    import sentencepiece
+    import tiktoken
+
+    path = folder(spark, tmp_path, documents=hard.unionByName(spark.createDataFrame([(70, "word " * 4096, "en", "a", 1), (71, "word " * 4095 + "word", "en", "a", 1), (72, "a" * 200_000, "en", "a", 1), (73, " " * 5000 + "z", "en", "a", 1)], DOCS)))
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = [(i, len(t.encode()), n := len(library.encode(t)), n > 4096) for i, t in rows]
+    assert ids(tokencount.op9(spark, path).collect(), "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(want, key=str)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for i, t in rows:
+        found = library.encode_ordinary(t)
+        want.append((i, len(found), hashlib.sha256(np.array(found, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert ids(bpe.op8(spark, path).collect(), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=str)
+    decoded = bpe.decode(bpe.encode(hard, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert ids(decoded.collect(), "doc_id", "decoded") == sorted(((r[0], bytearray((r[1] or "").encode())) for r in HARD), key=str)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = tokencount.transducer(path)
+    given = ["unbelievable things happen here", "aaaa bbbb aaaa", "x", ""]
+    model.counts(given)  # compiles what the texts need
+    same = lambda points, begins, ends: np.zeros(len(begins), np.uint64)
+    monkeypatch.setattr(tokencount, "word_hashes", same)
+    assert model.counts(given).tolist() == [len(x) for x in library.encode(given)]
+
+
 @pytest.mark.parametrize("which", ["hard", "clashing", "none"])
 def test_bpe_round_trip(request, which):
     docs = request.getfixturevalue(which)
@@ -369,6 +521,99 @@ def test_languages(spark, hard, clashing, none):
     assert {r["lang_pred"] for r in langid.identify(hard, langid.fit(none, langid.F.lit(True))).collect()} == {"und"}
 
 
+def test_marks_are_no_letters(spark):
+    rows = [(i, t, k, "s", 1) for i, (t, k) in enumerate([("the cat and the dog", "en"), ("он и она и мой кот", "ru"), ("यह एक घर है", "hi")] * 20)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS), langid.F.lit(True))
+    given = ["\u0301", "\u0951\u0951", "12 \u0301!", "мои\u0306 кот", "यह है", "e\u0301", "\u0301the"]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame([*enumerate(given)], "doc_id int, text string"), model).collect()}
+    assert [got[i]["lang_pred"] for i in range(6)] == ["und", "und", "und", "ru", "hi", "en"]
+    assert [(s["start"], s["end"]) for s in got[3]["spans"]] == [(0, 8)] and got[6]["spans"][0]["start"] == 1
+    # a mark at a text's beginning does not reach back into the text before
+    words = langid.Words(["abc", "\u0301", "d\u0301e"])
+    assert list(zip(words.begins.tolist(), words.ends.tolist())) == [(0, 3), (4, 7)]
+
+
+def slow_languages(rows, train, probe):
+    """The fit, the word scores, the Viterbi pass and the vote, a word at a time."""
+    import unicodedata
+
+    script, lower = langid.tables()
+
+    def words(text):
+        out, last = [], 0
+        for i, c in enumerate(text):
+            kind = int(script[ord(c)])
+            kind = last if kind == langid.MARK else kind
+            if kind and out and kind == last and out[-1][1] == i:
+                out[-1][1] = i + 1
+            elif kind:
+                out.append([i, i + 1, kind])
+            last = kind
+        assert all(any(unicodedata.category(c)[0] == "L" for c in text[a:b]) for a, b, _ in out)
+        return out
+
+    bucket = lambda key: int(common.mix64(np.array([key], np.uint64))[0]) & (langid.BUCKETS - 1)
+
+    def grams(word):
+        codes = [int(lower[ord(c)]) + 1 for c in word]
+        padded = [0, 0, *codes]
+        for k in range(2, len(padded)):
+            yield 0, bucket(padded[k])
+            yield 1, bucket(padded[k - 1] << 21 | padded[k])
+            yield 2, bucket(padded[k - 2] << 42 | padded[k - 1] << 21 | padded[k])
+        yield 1, bucket(codes[-1] << 21)
+        yield 2, bucket((codes[-2] if len(codes) > 1 else 0) << 42 | codes[-1] << 21)
+
+    names = sorted({r[2] for r in train if r[2] is not None})
+    counts, letters = {k: np.zeros((3, langid.BUCKETS)) for k in names}, {k: np.zeros(langid.OTHER + 1) for k in names}
+    for _, text, lang, *_ in train:
+        for a, b, kind in words(text or "") if lang is not None else []:
+            letters[lang][kind] += b - a
+            for order, key in grams(text[a:b]):
+                counts[lang][order, key] += 1
+    table = {k: np.log((c + 0.05) / (c.sum(axis=1, keepdims=True) + 0.05 * langid.BUCKETS)) for k, c in counts.items()}
+    written = {k: letters[k] / max(1, letters[k].sum()) >= langid.LEAST_SHARE for k in names}
+    out = []
+    for i, text, *_ in probe:
+        found = words(text or "")
+        if not found or not names:
+            out.append((i, "und", 0.0))
+            continue
+        value, back = None, []
+        for a, b, kind in found:
+            fits = [k for k in names if written[k][kind]] or names
+            own = np.array([sum(table[k][g] for g in grams(text[a:b])) / 3 - (0 if k in fits else 1e4) for k in names])
+            if value is None:
+                value = own
+            else:
+                best = int(value.argmax())
+                back.append([j if value[j] >= value[best] - langid.PENALTY else best for j in range(len(names))])
+                value = np.maximum(value, value[best] - langid.PENALTY) + own
+        path = [int(value.argmax())]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        share = np.zeros(len(names))
+        for (a, b, _), k in zip(found, reversed(path), strict=True):
+            share[k] += b - a
+        out.append((i, names[int(share.argmax())], round(share.max() / share.sum(), 9)))
+    return out
+
+
+def test_language_query(spark, hard, tmp_path):
+    draw = random.Random(2)
+    pools = {"en": "the cat and dog were in this house when rain came", "de": "der hund und die katze sind nicht in dem haus", "el": "ο σκύλος και η γάτα στο σπίτι"}
+    rows = list(HARD)
+    for i in range(100, 160):
+        lang = draw.choice([*pools])
+        text = " ".join(draw.choice(pools[lang if draw.random() < 0.9 else "de"].split()) for _ in range(draw.randint(1, 25)))
+        rows.append((i, text, lang, "s", 1))
+    got = langid.op4(spark, folder(spark, tmp_path, documents=spark.createDataFrame(rows, DOCS))).collect()
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    want = slow_languages(rows, [r for r in rows if not out(r[0])], rows)
+    assert sorted(((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in got), key=str) == sorted(want, key=str)
+    assert all(r["held_out"] == out(r["doc_id"]) for r in got)
+
+
 # 10
 
 
@@ -398,6 +643,56 @@ def test_quality_threshold_covers_all_labels(spark, monkeypatch):
         assert sum(r["predicted"] == 0 for r in out) == 300
 
 
+def slow_measures(text):
+    data = (text or "").encode()
+    n = len(data)
+    kind = lambda b: next((k for k, cs in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\v\f\r", b"\n", b".!?", b",;:'\"-()", b"#$%&*|<>{}[]\\^~=+_@/`")) if b in cs), 9 if b > 127 else 8)
+    out = [np.log1p(n), *(sum(kind(b) == k for b in data) / max(1, n) for k in range(10))]
+    words = data.split()
+    mean = lambda flags: sum(flags) / max(1, len(words))
+    has = lambda w, ks: any(kind(b) in ks for b in w)
+    out += [np.log1p(len(words)), mean(min(len(w), 100) for w in words), mean(len(w) > 12 for w in words), mean(len(w) < 4 for w in words), mean(not has(w, (0, 1, 2, 9)) for w in words)]
+    out.append(mean(kind(w[-1]) in (7, 8) or w[-2:] in (b"!!", b"!?", b"?!", b"??") for w in words))
+    out += [mean(sum(kind(b) == 1 for b in w) > 1 and not has(w, (0,)) for w in words), mean(has(w, (2,)) for w in words)]
+    out += [len(set(words)) / max(1, len(words)), mean(a == b for a, b in zip(words, words[1:], strict=False)), max((words.count(w) for w in set(words)), default=0) / max(1, len(words))]
+    lines = [x for x in data.split(b"\n") if x]
+    out += [np.log1p(len(lines)), (len(lines) - len(set(lines))) / max(1, len(lines)), np.log1p(n / max(1, len(lines)))]
+    return [*out, sum(kind(x[-1]) != 5 for x in lines) / max(1, len(lines)), float(n == 0)]
+
+
+def test_quality_measures():
+    import pyarrow as pa
+
+    given = [r[1] for r in HARD if r[1] != HARD[8][1]] + ["A B!! c?? ½\n\nAAA 12 AAA AAA\nA.\nx\nx", "#$% ok\x00\x7f", "\n\n"]
+    got = quality.measure(pa.array(given, pa.string()))
+    for row, text in zip(got, given, strict=True):
+        assert np.allclose(row, slow_measures(text)), (text, [n for n, a, b in zip(quality.NAMES, row, slow_measures(text), strict=True) if abs(a - b) > 1e-8])
+
+
+def test_quality_query(spark, tmp_path):
+    """Scores, threshold, folds and predictions of the query against plain numpy on the slow measures."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(2, 9)))
+    docs = [(i, " ".join(w.upper() if draw.random() < (0.1 if i % 3 else 0.4) else w for w in (word() for _ in range(draw.randint(20, 50)))), None, "s", 1) for i in range(160)] + [(500, None, None, None, None), (501, "", None, None, 0), (None, "no id", None, None, 1)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(120)] + [(7, None, 0), (9999, 1, 0), (None, 0, 0)]
+    path = folder(spark, tmp_path, documents=spark.createDataFrame(docs, DOCS), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r for r in quality.op10(spark, path).collect()}
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    x = {d[0]: slow_measures(d[1]) for d in docs}
+    train = sorted((i, q) for i, q, _ in labels if i in x and q is not None and i is not None and not out(i))
+    # the order of the sample decides which pairs are drawn: it is by a hash that Spark knows
+    order = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i, _ in train], "i long").selectExpr("i", "pmod(xxhash64(3, i), 1 << 30)").collect()}
+    train.sort(key=lambda r: (order[r[0]], r[1]))
+    model = quality.fit(np.array([x[i] for i, _ in train]), np.array([q == 1 for _, q in train]))
+    raw = lambda i: float(model.weights @ quality.expand(np.array([x[i]]))[0] + model.bias)
+    ranked, bad = sorted(raw(i) for i, _ in train), sum(q == 0 for _, q in train)
+    cut = (ranked[bad - 1] + ranked[bad]) / 2
+    for i in x:
+        want = 1 / (1 + np.exp(-(raw(i) - cut + np.log(0.7 / 0.3))))
+        assert abs(got[i]["score"] - want) < 1e-6 and got[i]["held_out"] == out(i) and got[i]["predicted"] == int(got[i]["score"] >= 0.7)
+    assert sum(got[i]["predicted"] == 0 for i, _ in train) == bad
+
+
 # 2
 
 
@@ -442,8 +737,9 @@ def near_copies(seed, n_bases=6, copies=25, length=70):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_similar_components(spark, monkeypatch, seed):
     # small cells and blocks, so that long lists are dealt too
-    monkeypatch.setattr(ngram_join, "CELL", 8)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "UNIT", 8)
+    monkeypatch.setattr(ngram_join, "GROWTH", 1)
     rows = near_copies(seed)
     got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert ids(got, "doc_id", "n_shingles", "component_id") == brute_components(rows, 4, 85)
@@ -470,3 +766,24 @@ def test_connected(spark, monkeypatch, small):
     got = components.connected(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted((r["node"], r["root"]) for r in got) == want
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similar_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "UNIT", 8)
+    monkeypatch.setattr(ngram_join, "GROWTH", 1)
+    rows = near_copies(5, copies=14) + [(900, None), (901, " "), (902, "one"), (903, "ONE")]
+    members, links = ngram_join.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+    of, links = {r["doc_id"]: r["set_id"] for r in members.collect()}, {(r["a"], r["b"]) for r in links.collect()}
+    sets = {}
+    for d, text in rows:
+        w = (text or "").lower().split()
+        sets[d] = {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    assert of[900] is of[901] is None and of[902] == of[903] and sorted(of) == sorted(sets)
+    for d in sets:
+        for e in sets:
+            if sets[d] and sets[e] and d < e:
+                a, b = sorted((of[d], of[e]))
+                linked = 100 * len(sets[d] & sets[e]) >= 85 * len(sets[d] | sets[e])
+                assert linked == (a == b or (a, b) in links)
+    with pytest.raises(ValueError):
+        ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=75)

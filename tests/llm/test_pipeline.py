@@ -46,6 +46,35 @@ def test_stages_on_nothing(spark):
     assert docs.count() == 0
 
 
+def test_stages_on_hard_rows(spark):
+    """Null ids, repeated rows, one id with several texts, a very long text and columns of the operators' names."""
+    draw = random.Random(3)
+    text = lambda n: " ".join(draw.choice("the of and to in is that it was for on are with as his they".split()) + str(draw.randrange(50)) for _ in range(n))
+    long, twin, other = text(60_000), text(50), text(50)
+    rows = [(1, long, "en", "a"), (2, twin, "en", "a"), (2, twin, "en", "a"), (3, other, "en", None), (3, text(40), "en", None), (None, text(30), "en", "a"), (None, "!!", None, "b"), (4, None, None, "b"), (5, "", "en", "b")]
+    extra = "score double, replica int, lang_pred string, row int, digest string, id int, source_rate double, `a.b` int, cdf int, n int"
+    docs = spark.createDataFrame([(*r, 7, 0.5, 3, "q", 4, "d", 8, 1.5, 9, 6, 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+    stages = dict(cp.STAGES)
+    kept = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    one = common.written(stages["language"](spark, docs, ""), "t")
+    assert one.columns == docs.columns and kept(one) == sorted([r[:2] for r in rows[:6]], key=str)
+    two = common.written(stages["exact_copies"](spark, one, ""), "t")
+    assert two.columns == docs.columns and kept(two) == sorted({r[:2] for r in rows[:6]}, key=str)
+    three = common.written(stages["near_copies"](spark, two, ""), "t")
+    assert three.columns == docs.columns and kept(three) == kept(two)
+    four = common.written(stages["mixture"](spark, three, ""), "t")
+    assert four.columns == docs.columns and {r["doc_id"] for r in four.collect()} <= {1, 2, 3, None}
+    assert {(r["replica"], r["a.b"], r["score"]) for r in four.select("replica", "`a.b`", "score").collect()} <= {(3, 9, 0.5)}
+    assert stages["tokens"](spark, three, "").count() == 5
+
+
+def test_run(spark, tmp_path):
+    planted(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    out = cp.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {r["doc_id"] for r in out.collect()} <= {*range(60), 100} - {3}
+
+
 def test_near_copies_of_five_words_and_80_percent(spark):
     draw = random.Random(12)
     word = lambda: f"w{draw.randrange(10**6)}"
