@@ -163,7 +163,7 @@ def decode_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
         )
 
     given = df.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))
-    return common.map_text(given, kernel, f"doc_id {given.schema[0].dataType.simpleString()}, media binary, payload binary, pcm binary, feature string")
+    return common.map_text(given, kernel, common.keyed(given, "media binary, payload binary, pcm binary, feature string"))
 
 
 def store_pcm(df: DataFrame, path: str, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -199,7 +199,7 @@ def describe_media(df: DataFrame, media_col: str = "media") -> DataFrame:
         return pa.record_batch([batch.column(0), *columns], names=["kept", *names])
 
     given = df.select(F.struct(F.lit(0).alias("__at"), *(F.col(f"`{f.name}`") for f in kept)).alias("kept"), F.col(media_col).alias("media"))
-    out = common.map_text(given, kernel, f"kept {given.schema[0].dataType.simpleString()}, {made}")
+    out = common.map_text(given, kernel, common.keyed(given, made, "kept"))
     return out.select("kept.*", *names).drop("__at")
 
 
@@ -218,7 +218,7 @@ def text_as_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.record_batch([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     given = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return common.map_text(given, kernel, f"doc_id {given.schema[0].dataType.simpleString()}, n_bytes long, media binary")
+    return common.map_text(given, kernel, common.keyed(given, "n_bytes long, media binary"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

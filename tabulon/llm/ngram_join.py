@@ -15,12 +15,21 @@ any one global order, so the join works on prefixes and verifies what is left on
    pairs across components are formed.  A list is ordered by set size and cut into blocks; with the sizes and
    positions of a block as bounds, a set skips every block that cannot hold enough common n-grams, and the pairs
    left are bounded each, by position and by the parity bitmaps of the two whole sets.  Lists with the same largest
-   component are met in one task, so a pair is counted there over all lists that it shares and named once.  The
-   matches of a pair, over all tasks, must reach what the two sizes ask for given that both prefixes have been seen whole.
-   Lists of more than ``CELL`` sets are dealt to cells: the largest component in parts, each beside the
-   rest of the list, and the rest in parts against each other, so no task gets an unbounded list.
+   component make a unit, so a pair is counted there over all lists that it shares and named once.  The matches of a
+   pair, over all units, must reach what the two sizes ask for given that both prefixes have been seen whole.  A
+   unit of more rows than a cell may have is dealt to cells by parts of its sets: each part of the largest component
+   meets each part of the rest, and the parts of the rest meet each other, so no task gets an unbounded unit.
+   Step 4 runs twice.  At first, of any two components of which one is large, only the likeliest pair is named and
+   verified: near copies that miss their hub mostly come to their group by it.  The second time all pairs of components
+   that are still apart are named.
 5. The pairs left are verified on whole sets, the likeliest of each set first; pairs that these links put into one
    component are answered.  The components of all links are the result.
+
+``similar_pairs`` is the join itself: every link between different sets, by step 4 with each set as a component of its
+own, and the membership of documents in sets.
+
+N-grams are compared as 62-bit hashes, and sets that agree in size and a 128-bit signature count as one; a text
+pair is wrongly linked only where such hashes collide.
 """
 
 from __future__ import annotations
@@ -41,16 +50,21 @@ WORDS, PERCENT = 4, 85
 STAR = 6
 #: Common prefix n-grams that a pair needs at least; the prefix is longer by that.
 ELL = 3
-#: Rows of an index list in a cell, and rows of a skip block.
-CELL, BLOCK = 1000, 32
+#: Rows of each side of a cell (more only where a unit has over (UNIT / GROWTH) ** 2 rows, by the square root of them,
+#: so that the copies of rows in its cells do not grow with its square), and rows of a skip block.
+UNIT, GROWTH, BLOCK = 2000, 10, 32
 #: n-grams that go last in the order: at most so many, in at least LOCAL texts of a block somewhere.
 HEAVY, LOCAL = 100_000, 8
+#: Sets of a component in a cell from which on a set beside it meets its likeliest partner there first.
+CROWD = 8
 #: Bits of a set's parity bitmap.
 BITS = 512
 #: Ids of documents to verify that are sent to every executor; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Pairs, and rows, that the kernel of the lists holds at once.
-PAIRS, HELD = 1 << 20, 200_000
+#: Pairs that the kernel of the lists makes at once, pairs that it holds before it names them, and rows that it holds.
+PAIRS, NAMED, HELD = 1 << 18, 1 << 20, 200_000
+#: Bytes of text that are cut into n-grams at once; the arrays take about 100 bytes for each.
+TEXT = 1 << 20
 TOP = np.int64(1) << 62
 
 
@@ -96,7 +110,8 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
     """The n-grams that go last, most frequent at the end; counted over all texts.
 
     An n-gram is counted where at least LOCAL texts of a block share it, so one in more than LOCAL texts a
-    block on average is never missed.
+    block on average is never missed.  At most HEAVY rows reach the driver: a histogram of the counts, of some hundred
+    rows, tells which.
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -104,9 +119,20 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
         hot = n >= LOCAL
         return pa.record_batch([pa.array(value[hot]), pa.array(n[hot])], names=["gram", "n"])
 
-    counted = common.map_text(docs, kernel, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "gram").limit(HEAVY).toPandas()
-    return rows["gram"].to_numpy(dtype=np.int64)[::-1].copy()
+    counted = common.written(common.map_text(docs, kernel, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "hot-grams")
+    level = F.floor(F.log2("n") * 8).cast("int")
+    left, wanted = HEAVY, F.lit(False)
+    # from the most frequent level down; of the level that does not fit, a share by hash
+    for r in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["level"]):
+        fits = r["c"] <= left
+        here = level == r["level"]
+        wanted = wanted | (here if fits else here & (F.col("gram") < int(0.9 * left / r["c"] * TOP)))
+        left -= r["c"]
+        if not fits:
+            break
+    rows = counted.filter(wanted).toPandas().sort_values(["n", "gram"])
+    common.drop(counted)
+    return rows["gram"].to_numpy(dtype=np.int64)
 
 
 def _ordered(value: np.ndarray, first: np.ndarray, by: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -160,7 +186,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, heavy: np.ndarray) -> Da
         inside = np.arange(len(keys)) - np.repeat(first[:-1], n) < np.repeat(length, n)
         return pa.record_batch([batch.column(0), pa.array(n), _fixed(signatures(value, first).view(np.uint8)), _fixed(parities(value, first)), _lists(keys[inside], length)], names=["doc_id", "n", "sig", "bits", "prefix"])
 
-    return common.map_text(docs, kernel, "doc_id long, n long, sig binary, bits binary, prefix array<long>")
+    return common.map_text(docs, kernel, "doc_id long, n long, sig binary, bits binary, prefix array<long>", TEXT)
 
 
 def whole_sets(docs: DataFrame, words: int, sets: DataFrame) -> DataFrame:
@@ -173,7 +199,7 @@ def whole_sets(docs: DataFrame, words: int, sets: DataFrame) -> DataFrame:
         value, first = grams(batch.column(1), words)
         return pa.record_batch([_fixed(signatures(value, first).view(np.uint8)), _lists(value, np.diff(first))], names=["sig", "grams"])
 
-    found = common.map_text(texts, kernel, "sig binary, grams array<long>").join(sets.select("id", "sig"), "sig")
+    found = common.map_text(texts, kernel, "sig binary, grams array<long>", TEXT).join(sets.select("id", "sig"), "sig")
     # rows that repeat an id with the same text give a set again
     return found.groupBy("id").agg(F.first("grams").alias("grams"))
 
@@ -186,7 +212,9 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
     one = pairs.join(full.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
     two = one.join(full.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return two.filter(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
+    out = common.written(two.filter(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b"), "verified")
+    common.drop(wanted, full)
+    return out
 
 
 #: Columns of a row of the kernel of the lists, before its bitmap.
@@ -241,10 +269,11 @@ def list_pairs(x: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndar
         start = stop
 
 
-def unit_hits(x: dict[str, np.ndarray], bits: dict[str, np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+def unit_hits(x: dict[str, np.ndarray], bits: dict[str, np.ndarray], percent: int, crowd: int = 0) -> Iterator[pa.RecordBatch]:
     """(a, b, na, nb, hits) of the rows of some units: each pair once a unit, with its matches over all lists there.
 
-    ``bits`` are (id, bits) of sets; a pair of which one is not there passes without that bound.
+    ``bits`` are (id, bits) of sets; a pair of which one is not there passes without that bound.  With ``crowd``, only the
+    pair with the most matches of each two components is named, and only where one of them has so many sets here.
     """
     if not len(x["gram"]):
         return
@@ -259,8 +288,19 @@ def unit_hits(x: dict[str, np.ndarray], bits: dict[str, np.ndarray], percent: in
         key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
         return key, np.bincount(back, weights=np.concatenate([c for _, c in held]), minlength=len(key)).astype(np.int64)
 
+    comp = np.unique(x["comp"][row], return_inverse=True)[1]
+    sizes = np.bincount(comp)
+
     def batch(key: np.ndarray, hits: np.ndarray) -> pa.RecordBatch:
         low, high = key // m % m, key % m
+        if crowd:
+            one, two = np.minimum(comp[low], comp[high]), np.maximum(comp[low], comp[high])
+            order = np.lexsort((key, -hits, two, one))
+            new = np.ones(len(order), bool)
+            new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+            order = order[new]
+            order = order[np.maximum(sizes[one[order]], sizes[two[order]]) >= crowd]
+            low, high, hits = low[order], high[order], hits[order]
         return pa.record_batch([pa.array(v) for v in (ids[low], ids[high], n[low], n[high], hits)], names=["a", "b", "na", "nb", "hits"])
 
     for a, b in list_pairs(x, percent):
@@ -275,16 +315,16 @@ def unit_hits(x: dict[str, np.ndarray], bits: dict[str, np.ndarray], percent: in
             apart[k : k + PAIRS // 8][known] = np.bitwise_count(bits["bits"][c] ^ bits["bits"][d]).sum(axis=1, dtype=np.int64)
         good = n[low] + n[high] - apart >= 2 * need(n[low], n[high], percent)
         held.append((key[good], hits[good]))
-        if sum(len(k) for k, _ in held) > PAIRS:
+        if sum(len(k) for k, _ in held) > NAMED:
             held = [merged()]
-            if len(held[0][0]) > PAIRS // 2:
+            if len(held[0][0]) > NAMED // 2:
                 yield batch(*held[0])
                 held = []
     if held:
         yield batch(*merged())
 
 
-def match_lists(rows: DataFrame, percent: int) -> DataFrame:
+def match_lists(rows: DataFrame, percent: int, crowd: int = 0) -> DataFrame:
     """(a, b, na, nb, hits) from units of index lists: rows (top, i, j, gram, side, id, n, pos, comp, bits).
 
     Rows of gram -1 bring a set's bitmap to a unit.  Units must be whole in a partition and ordered by
@@ -298,7 +338,7 @@ def match_lists(rows: DataFrame, percent: int) -> DataFrame:
 
         def done(x: dict[str, np.ndarray], more: bool) -> Iterator[pa.RecordBatch]:
             nonlocal bits
-            yield from unit_hits(x, bits, percent)
+            yield from unit_hits(x, bits, percent, crowd)
             if not more:  # the bitmaps go when no unit is open
                 bits = {c: v[:0] for c, v in bits.items()}
 
@@ -332,39 +372,89 @@ def match_lists(rows: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("a", "b", "na", "nb").agg(F.sum("hits").alias("hits"))
 
 
-def units(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of ``match_lists`` from the postings (gram, id, n, pos, comp) of lists with several components.
+def units(shared: DataFrame, sets: DataFrame, crowd: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of ``match_lists``, and the two written tables that they read, from the postings (gram, id, n, pos, comp) of lists with several components.
 
     The lists with the same largest component, ``top``, make one unit, as near copies share many lists: a pair
-    then meets in few units.  Where one of those lists is longer than CELL, the sets of the largest component are cut into
-    parts, each of which meets a copy of the rest; and the rest, in parts, meets itself.  The parts are by id, so
-    they are the same in all lists of a unit.  ``sets`` have (id, bits); each bitmap goes once to a unit.
+    then meets in few units.  A unit of more than two UNIT rows is dealt to cells: the sets of the largest component
+    and the others are cut into parts by id, the same in all lists of the unit, and two parts meet in one cell, so a
+    pair is named once there too.  ``sets`` have (id, bits); each bitmap goes once to a cell.  With ``crowd`` only lists
+    with so many sets of one component are placed.
     """
     tops = shared.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("size"))
+    tops = tops.filter(F.col("m.c") >= crowd) if crowd else tops
     tops = common.written(tops.select("gram", F.col("m.comp").alias("top"), F.col("m.c").alias("c"), "size"), "tops")
-    placed = common.written(shared.join(tops.select("gram", "top"), "gram"), "placed")
-    large = tops.groupBy("top").agg(F.max("c").alias("c"), F.max(F.col("size") - F.col("c")).alias("rest"), F.max("size").alias("size")).filter(F.col("size") > CELL)
-    large = large.select("top", F.ceil(F.col("c") / CELL).cast("int").alias("parts"), F.ceil(F.col("rest") / CELL).cast("int").alias("rests"))
+    large = tops.groupBy("top").agg(F.sum("c").alias("own"), F.sum(F.col("size") - F.col("c")).alias("rest")).filter(F.col("own") + F.col("rest") > 2 * UNIT)
+    side = F.greatest(F.lit(UNIT), GROWTH * F.sqrt(F.col("own") + F.col("rest")))
+    large = large.select("top", *(F.ceil(F.col(c) / side).cast("int").alias(n) for c, n in (("own", "parts"), ("rest", "rests"))))
+    placed = common.written(shared.join(tops.join(large, "top", "left").select("gram", "top", "parts", "rests"), "gram"), "placed")
     own, other = F.pmod(F.xxhash64("id"), "parts").cast("int"), F.pmod(F.xxhash64("id"), "rests").cast("int")
 
     def cell(i, j, side):
         return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
 
     zero, one, any_ = F.lit(0), F.lit(1), F.lit(2)
-    inside = F.array(cell(F.lit(-1), own, zero))
-    beside = F.transform(F.sequence(zero, F.col("parts") - 1), lambda k: cell(F.lit(-1), k, one))
+    inside = F.transform(F.sequence(zero, F.col("rests") - 1), lambda k: cell(-1 - own, k, zero))
+    beside = F.transform(F.sequence(zero, F.col("parts") - 1), lambda k: cell(-1 - k, other, one))
     among = F.transform(F.sequence(zero, F.col("rests") - 1), lambda k: cell(F.least(k, other), F.greatest(k, other), F.when(k == other, any_).when(other < k, zero).otherwise(one)))
     whole = F.array(cell(zero, zero, any_))
 
     def dealt(rows: DataFrame) -> DataFrame:
         cells = F.when(F.col("parts").isNull(), whole).when(F.col("comp") == F.col("top"), inside).otherwise(F.concat(beside, among))
-        return rows.join(large, "top", "left").withColumn("cell", F.explode(cells)).select("cell.i", "cell.j", "cell.side", *rows.columns)
+        return rows.withColumn("cell", F.explode(cells)).select("cell.i", "cell.j", "cell.side", *[c for c in rows.columns if c not in ("parts", "rests")])
 
     postings = dealt(placed).withColumn("bits", F.lit(None).cast("binary"))
-    maps = dealt(placed.select("top", "id", "comp").distinct()).join(sets.select("id", "bits"), "id")
+    maps = dealt(placed.select("top", "id", "comp", "parts", "rests").distinct()).join(sets.select("id", "bits"), "id")
     maps = maps.withColumns({"gram": F.lit(-1).cast("long"), "n": F.lit(0).cast("long"), "pos": F.lit(0)})
     rows = postings.select(*ROW, "bits").unionByName(maps.select(*ROW, "bits"))
-    return rows.repartition("top", "i", "j").sortWithinPartitions("top", "i", "j", "gram", "n")
+    return rows.repartition("top", "i", "j").sortWithinPartitions("top", "i", "j", "gram", "n"), tops, placed
+
+
+def sets_of(given: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables from rows (doc_id, text): the prefixes of all rows, the distinct sets (id, sig, n, doc_id,
+    copies), and the index (id, n, copies, bits, prefix) of sets that may link with others."""
+    if need(ELL, ELL + 1, percent) <= ELL:
+        raise ValueError(f"{percent} percent is too low: sets of up to {ELL} n-grams would link with larger ones")
+    rows = common.written(prefixes(given, words, percent, frequent(given, words)), "prefixes")
+    classes = rows.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    sets = common.written(classes.select(F.monotonically_increasing_id().alias("id"), "sig", "n", "doc_id", "copies"), "sets")
+    # the prefix of one row of each set; sets of up to ELL n-grams link with equal sets only
+    firsts = rows.filter(f"n > {ELL}").select("sig", F.col("doc_id").alias("d"), "bits", "prefix")
+    met = sets.join(firsts, "sig").filter(F.col("d").eqNullSafe(F.col("doc_id"))).dropDuplicates(["id"])
+    return rows, sets, common.written(met.select("id", "n", "copies", "bits", "prefix"), "index")
+
+
+def candidates(full: DataFrame, percent: int, crowd: int = 0) -> DataFrame:
+    """(a, b, hits), a < b, of sets (id, n, comp, bits, prefix) in different components that may link; written.
+
+    With ``crowd`` only the likeliest pair of each two components of which one is so large; then some may be left out.
+    """
+    postings = full.select("id", "n", "comp", F.posexplode("prefix").alias("pos", "gram"))
+    lists = postings.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("gram")
+    shared = common.written(postings.join(lists.select("gram"), "gram", "left_semi").select("gram", "id", "n", "pos", "comp"), "shared")
+    rows, *made = units(shared, full, crowd)
+    hits = match_lists(rows, percent, crowd)
+    seen = lambda n: F.col(n) - F.least(F.col(n), F.floor(F.col(n) * (100 - percent) / 100) + ELL)  # noqa: E731  n-grams after the prefix
+    overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    enough = F.col("hits") >= F.greatest(F.lit(ELL), overlap - F.greatest(seen("na"), seen("nb")))
+    found = common.written(hits.filter(enough).select("a", "b", "hits"), "candidates")
+    common.drop(shared, *made)
+    return found
+
+
+def similar_pairs(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join: members (doc_id, n_shingles, set_id) of every document, and every link (a, b), a < b, of different sets.
+
+    Documents of one set are equal in their n-grams and link among each other; they are not expanded to pairs.  A
+    document without words has a null set_id.  Otherwise as ``similar_components``; the links of a group of R
+    different near copies are up to R * R / 2 rows, which is what a join of them is.
+    """
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, sets, index = sets_of(given, words, percent)
+    found = candidates(index.select("id", "n", F.col("id").alias("comp"), "bits", "prefix"), percent)
+    links = verified(found.select("a", "b"), sets, given, words, percent)
+    members = rows.filter("n > 0").join(sets.select("sig", F.col("id").alias("set_id")), "sig").select("doc_id", F.col("n").alias("n_shingles"), "set_id")
+    return members.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("set_id"))), links
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,45 +463,43 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     Words are what white space (space, bytes 9 to 13) leaves, A-Z lower-cased.  A text of fewer than ``words``
     words has its whole sequence as its only n-gram; a null text, or one without words, has an empty set, which
     links with nothing, so its component is itself.  Repeated rows are equal sets: they link.  component_id is
-    the least id of the component, null ids left aside; a component of null ids only has a null one.  An empty
-    table gives no rows.  Other columns of ``docs`` are not read.
+    the least id of the component, null ids left aside; a component of null ids only has a null one.  Ids are
+    whole numbers; a text id is an error or null, by the session's casts.  ``percent`` is over 75.  An empty table
+    gives no rows.  Other columns of ``docs`` are not read.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = common.written(prefixes(given, words, percent, frequent(given, words)), "prefixes")
-    classes = rows.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    sets = common.written(classes.select(F.monotonically_increasing_id().alias("id"), "sig", "n", "doc_id", "copies"), "sets")
-    # the prefix of one row of each set; sets of up to ELL n-grams link with equal sets only
-    firsts = rows.filter(f"n > {ELL}").select("sig", F.col("doc_id").alias("d"), "bits", "prefix")
-    met = sets.join(firsts, "sig").filter(F.col("d").eqNullSafe(F.col("doc_id"))).dropDuplicates(["id"])
-    index = common.written(met.select("id", "n", "copies", "bits", "prefix"), "index")
+    rows, sets, index = sets_of(given, words, percent)
 
     keys = index.select("id", "n", "copies", F.explode(F.slice("prefix", 1, STAR)).alias("gram"))
     hubs = keys.groupBy("gram").agg(F.max(F.struct("copies", (-F.col("id")).alias("minus"), "id", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("gram", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"))
     near = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
     stars = keys.join(hubs, "gram").filter((F.col("id") != F.col("b")) & near).groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("c")).filter("c >= 2").select("a", "b")
     stars = common.written(stars, "stars")
-    links = common.written(verified(stars, sets, given, words, percent), "star-links")
+    links = verified(stars, sets, given, words, percent)
     roots = connected(links)
 
-    full = index.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("comp"), "bits", "prefix")
-    full = common.written(full, "components")
-    postings = full.select("id", "n", "comp", F.posexplode("prefix").alias("pos", "gram"))
-    lists = postings.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("gram")
-    shared = postings.join(lists.select("gram"), "gram", "left_semi").select("gram", "id", "n", "pos", "comp")
-    hits = match_lists(units(common.written(shared, "shared"), full), percent)
-    seen = lambda n: F.col(n) - F.least(F.col(n), F.floor(F.col(n) * (100 - percent) / 100) + ELL)  # noqa: E731  n-grams after the prefix
-    overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    enough = F.col("hits") >= F.greatest(F.lit(ELL), overlap - F.greatest(seen("na"), seen("nb")))
-    found = common.written(hits.filter(enough).select("a", "b", "hits"), "candidates")
+    common.drop(stars)
+    # a set beside a large component: first its likeliest partner there alone, then all partners where that was no link
+    for crowd in (CROWD, 0):
+        full = index.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("comp"), "bits", "prefix")
+        full = common.written(full, "components")
+        found = candidates(full, percent, crowd)
+        common.drop(full)
+        if crowd:
+            links = links.unionByName(verified(found.select("a", "b"), sets, given, words, percent))
+            roots = connected(links)
+            common.drop(found)
+    common.drop(index)
     # the likeliest partner of each set first; what then is within a component needs no more answers
     likely = [found.groupBy(one).agg(F.max(F.struct("hits", other)).alias("m")).select(one, F.col(f"m.{other}").alias(other)).select("a", "b") for one, other in (("a", "b"), ("b", "a"))]
     first = common.written(likely[0].unionByName(likely[1]).distinct(), "likely")
-    links = common.written(links.unionByName(verified(first, sets, given, words, percent)), "links")
+    links = links.unionByName(verified(first, sets, given, words, percent))
     roots = connected(links)
     of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     open_ = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     rest = common.written(open_.filter(apart).select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
+    common.drop(found, first)
     links = links.unionByName(verified(rest, sets, given, words, percent))
     roots = connected(links)
 
