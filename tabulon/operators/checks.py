@@ -71,12 +71,25 @@ def reliability(a: DataFrame) -> DataFrame:
     return out.withColumn("action", action)
 
 
-def table_type(text: Column) -> Column:
-    """The type whose words a table's labels hold most of, two at least; ties by cash flow, balance, income."""
-    counts = {k: S.any_word(text, w) for k, w in P.TABLE_TYPES.items()}
-    most = F.greatest(*counts.values())
-    best = F.coalesce(*(F.when(n == most, k) for k, n in counts.items()))
-    return F.when(text.contains("hors bilan") | text.contains("engagement"), "off_balance").when(most >= 2, best).otherwise("unknown")
+def table_types(labels: DataFrame) -> DataFrame:
+    """(table_id, table_type) of rows (table_id, label): the type of whose words a table's labels hold most, two at least.
+
+    A word counts once a table and has to stand in one label; ties go to cash flow, balance sheet, income statement in
+    that order.  One aggregation with map-side combination.
+    """
+    low = F.lower(F.coalesce(F.col("label"), F.lit("")))
+    has = lambda w: F.max(low.contains(w).cast("int"))
+    counts = [sum((has(w) for w in words), F.lit(0)).alias(k) for k, words in P.TABLE_TYPES.items()]
+    a = labels.groupBy("table_id").agg(*counts, F.greatest(has("hors bilan"), has("engagement")).alias("off"))
+    most = F.greatest(*P.TABLE_TYPES)
+    best = F.coalesce(*(F.when(F.col(k) == most, k) for k in P.TABLE_TYPES))
+    return a.select("table_id", F.when(F.col("off") == 1, "off_balance").when(most >= 2, best).otherwise("unknown").alias("table_type"))
+
+
+def cash_flow_tables(labels: DataFrame, least: float = 0.2) -> DataFrame:
+    """(table_id, is_cash_flow): over a fifth of the labels hold a cash-flow word."""
+    hit = S.any_word(F.lower("label"), P.TABLE_TYPES["cash_flow"]) > 0
+    return labels.groupBy("table_id").agg((F.avg(hit.cast("int")) > least).alias("is_cash_flow"))
 
 
 def truncation_reasons(text: Column, n_rows: Column) -> Column:

@@ -93,9 +93,9 @@ def expanded(anchor: DataFrame, found: DataFrame) -> DataFrame:
     return anchor.select("doc_id", "kind", "page_no").unionByName(after)
 
 
-def gap_clusters(points: DataFrame, key: str = "doc_id", at: str = "page_no", gap: int = GAP) -> DataFrame:
-    """points with cluster: a new one begins where the step to the next point is above the gap."""
-    w = Window.partitionBy(key).orderBy(at)
+def gap_clusters(points: DataFrame, key: str = "doc_id", at: str = "page_no", gap: int = GAP, ties: tuple[str, ...] = ()) -> DataFrame:
+    """points with cluster: a new one begins where the step to the next point is above the gap; ``ties`` order points at one place."""
+    w = Window.partitionBy(key).orderBy(at, *ties)
     far = F.coalesce(F.col(at) - F.lag(at).over(w) > gap, F.lit(False)).cast("int")
     return points.withColumn("__far", far).withColumn("cluster", F.sum("__far").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__far")
 

@@ -113,7 +113,7 @@ def corrected_totals(checks: DataFrame, tolerance: float = 2.0, most: float = 0.
 def variation(rows: DataFrame, amount_tolerance: float = 1.0, percent_tolerance: float = 0.5) -> DataFrame:
     """rows (cur, prev, var_amount, var_percent) with the expected values and what was done to each.
 
-    Amount: current - previous; filled where missing, replaced beyond the tolerance.  Percent: amount / |previous|
+    Amount: current - previous; filled where missing, replaced beyond the tolerance.  Percent: amount / previous
     times 100; cleared where previous is null or 0; filled or replaced alike; its sign follows the amount.
     Equal periods give 0 and 0.  Codes are null where nothing was done.
     """
@@ -129,7 +129,7 @@ def variation(rows: DataFrame, amount_tolerance: float = 1.0, percent_tolerance:
     out = rows.withColumn("new_amount", amount).withColumn("amount_code", code)
     out = out.withColumn("percent_code", pcode).withColumn("new_percent", F.when(zero, None).when(F.col("percent_code").isNotNull(), share).otherwise(F.col("var_percent")))
     signed = F.signum("new_amount") * F.abs("new_percent")
-    wrong = F.col("new_percent").isNotNull() & F.col("new_amount").isNotNull() & (F.signum("new_percent") != F.signum("new_amount")) & (F.col("prev") > 0)
+    wrong = F.col("new_percent").isNotNull() & F.col("new_amount").isNotNull() & (F.signum("new_percent") != F.signum("new_amount"))
     return out.withColumn("sign_code", F.when(wrong, "sign_consistency_corrected")).withColumn("new_percent", F.when(wrong, signed).otherwise(F.col("new_percent")))
 
 

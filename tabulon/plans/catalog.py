@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import patterns as P
@@ -336,7 +336,7 @@ def yoy_percent(t):
     return _variation(t).select("table_id", "row_idx", F.round("new_percent", 4).alias("new_percent"), "percent_code")
 
 
-@query(I.STATEMENT, VARIATION + " SELECT table_id, count(*) AS n, count(*) FILTER (WHERE sign(coalesce(CASE WHEN percent_code IS NOT NULL THEN share ELSE var_percent END, 0)) <> sign(new_amount) AND prev > 0 AND coalesce(CASE WHEN percent_code IS NOT NULL THEN share ELSE var_percent END) IS NOT NULL) AS n_wrong FROM f GROUP BY table_id")
+@query(I.STATEMENT, VARIATION + " SELECT table_id, count(*) AS n, count(*) FILTER (WHERE sign(coalesce(CASE WHEN percent_code IS NOT NULL THEN share ELSE var_percent END, 0)) <> sign(new_amount) AND coalesce(CASE WHEN percent_code IS NOT NULL THEN share ELSE var_percent END) IS NOT NULL) AS n_wrong FROM f GROUP BY table_id")
 def sign_consistency(t):
     return _variation(t).groupBy("table_id").agg(F.count("*").alias("n"), F.count("sign_code").alias("n_wrong"))
 
@@ -386,8 +386,8 @@ def net_gross_window(t):
 
 
 LABELS = """
-SELECT c_nationkey AS table_id, CASE c_custkey % 13 WHEN 0 THEN 'Flux de trésorerie' WHEN 1 THEN 'Encaissements' WHEN 2 THEN 'Total actif' WHEN 3 THEN 'Passif' WHEN 4 THEN 'Produits' WHEN 5 THEN 'Charges' ELSE c_mktsegment END AS label, c_custkey AS row_idx
-FROM {customer} WHERE c_custkey % 13 > 5 OR c_custkey % 3 = c_nationkey % 3
+SELECT c_nationkey AS table_id, CASE WHEN c_custkey % 3 <> c_nationkey % 3 THEN c_mktsegment ELSE CASE c_custkey % 13 WHEN 0 THEN 'Flux de trésorerie' WHEN 1 THEN 'Encaissements' WHEN 2 THEN 'Total actif' WHEN 3 THEN 'Passif' WHEN 4 THEN 'Produits' WHEN 5 THEN 'Charges' ELSE c_mktsegment END END AS label, c_custkey AS row_idx
+FROM {customer}
 """
 
 
@@ -395,19 +395,21 @@ def _count_sql(text: str, words: tuple[str, ...]) -> str:
     return " + ".join(f"(contains({text}, '{w.replace(chr(39), chr(39) * 2)}'))::INT" for w in words)
 
 
-@query(LABELS, f"""WITH a AS (SELECT table_id, string_agg(lower(label), ' ' ORDER BY row_idx) AS x FROM t GROUP BY table_id),
-s AS (SELECT table_id, x, {", ".join(f"{_count_sql('x', w)} AS {k}" for k, w in P.TABLE_TYPES.items())} FROM a)
-SELECT table_id, CASE WHEN contains(x, 'engagement') THEN 'off_balance' WHEN greatest(cash_flow, balance_sheet, income_statement) < 2 THEN 'unknown' WHEN cash_flow >= balance_sheet AND cash_flow >= income_statement THEN 'cash_flow'
+def _once_sql(words: tuple[str, ...]) -> str:
+    """How many of the words stand in some label of a table."""
+    return " + ".join(f"max(contains(lower(label), '{w.replace(chr(39), chr(39) * 2)}')::INT)" for w in words)
+
+
+@query(LABELS, f"""WITH s AS (SELECT table_id, bool_or(contains(lower(label), 'engagement') OR contains(lower(label), 'hors bilan')) AS off, {", ".join(f"{_once_sql(w)} AS {k}" for k, w in P.TABLE_TYPES.items())} FROM t GROUP BY table_id)
+SELECT table_id, CASE WHEN off THEN 'off_balance' WHEN greatest(cash_flow, balance_sheet, income_statement) < 2 THEN 'unknown' WHEN cash_flow >= balance_sheet AND cash_flow >= income_statement THEN 'cash_flow'
   WHEN balance_sheet >= income_statement THEN 'balance_sheet' ELSE 'income_statement' END AS table_type FROM s""")
 def table_type(t):
-    joined = t.groupBy("table_id").agg(F.array_join(F.collect_set(F.lower("label")), " ").alias("x"))
-    return joined.select("table_id", checks.table_type(F.col("x")).alias("table_type"))
+    return checks.table_types(t)
 
 
 @query(LABELS, "SELECT table_id, avg((contains(lower(label), 'flux') OR contains(lower(label), 'encaissements'))::INT) > 0.2 AS is_cash_flow FROM t GROUP BY table_id")
 def cashflow_keywords(t):
-    hit = S.any_word(F.lower("label"), P.TABLE_TYPES["cash_flow"]) > 0
-    return t.groupBy("table_id").agg((F.avg(hit.cast("int")) > 0.2).alias("is_cash_flow"))
+    return checks.cash_flow_tables(t)
 
 
 # notes that stand in number columns
@@ -433,9 +435,9 @@ def misplaced_notes(t):
 
 
 @query(SLOTS, MISPLACED + """, f AS (SELECT table_id, row_idx, min(slot) AS from_slot FROM x WHERE slot > 0 GROUP BY table_id, row_idx),
-a AS (SELECT t.table_id, t.row_idx, t.slot, t.value, from_slot IS NOT NULL AND n.value = '' AS was_shifted, from_slot, y.value AS moved, z.value AS nxt
-  FROM t LEFT JOIN f USING (table_id, row_idx) LEFT JOIN t n ON n.table_id = t.table_id AND n.row_idx = t.row_idx AND n.slot = 0
-  LEFT JOIN t y ON y.table_id = t.table_id AND y.row_idx = t.row_idx AND y.slot = from_slot LEFT JOIN t z ON z.table_id = t.table_id AND z.row_idx = t.row_idx AND z.slot = t.slot + 1)
+a AS (SELECT t.table_id, t.row_idx, t.slot, t.value, from_slot, from_slot IS NOT NULL AND max(CASE WHEN t.slot = 0 THEN t.value END) OVER p = '' AS was_shifted,
+  max(CASE WHEN t.slot = from_slot THEN t.value END) OVER p AS moved, lead(t.value) OVER (PARTITION BY t.table_id, t.row_idx ORDER BY t.slot) AS nxt
+  FROM t LEFT JOIN f ON f.table_id = t.table_id AND f.row_idx = t.row_idx WINDOW p AS (PARTITION BY t.table_id, t.row_idx))
 SELECT table_id, row_idx, slot, CASE WHEN was_shifted AND slot = 0 THEN moved WHEN was_shifted AND slot >= from_slot THEN coalesce(nxt, '') ELSE value END AS value, was_shifted FROM a""")
 def column_shift(t):
     found = _misplaced(t).select("table_id", "row_idx", F.col("col_idx").alias("slot")).filter("slot > 0")
@@ -593,14 +595,15 @@ def retry_budget(t):
     return t.select("table_id", checks.next_budget(F.lit(4096), checks.truncation_reasons(F.col("text"), F.lit(1)), F.lit(True)).alias("budget"))
 
 
-@query(I.RESPONSES, """SELECT table_id, CASE table_id % 6 WHEN 2 THEN 'salvaged' WHEN 4 THEN 'failed' WHEN 5 THEN 'failed' ELSE 'fast' END AS how,
-  (CASE table_id % 6 WHEN 0 THEN 2 WHEN 4 THEN 0 WHEN 5 THEN 0 ELSE 1 END)::INTEGER AS n_rows FROM t""")
+@query(I.RESPONSES, """SELECT table_id, CASE table_id % 6 WHEN 2 THEN 'salvaged' WHEN 4 THEN 'failed' WHEN 5 THEN 'pipe' ELSE 'fast' END AS how,
+  (CASE table_id % 6 WHEN 0 THEN 2 WHEN 4 THEN 0 WHEN 5 THEN 2 ELSE 1 END)::INTEGER AS n_rows FROM t""")
 def parse_responses(t):
     return parse.parse_responses(t).select("table_id", "how", F.coalesce(F.size("table.rows"), F.lit(0)).alias("n_rows"))
 
 
-@query(I.RESPONSES, """SELECT table_id, 0 AS row_idx, 0 AS col_idx, 'Label' AS name, event_type AS raw FROM t WHERE table_id % 6 < 4 UNION ALL
-SELECT table_id, 0, 1, '2024', CAST(user_id AS VARCHAR) FROM t WHERE table_id % 6 < 4 UNION ALL SELECT table_id, 1, 0, 'Label', 'x' FROM t WHERE table_id % 6 = 0 UNION ALL SELECT table_id, 1, 1, '2024', '' FROM t WHERE table_id % 6 = 0""")
+@query(I.RESPONSES, """SELECT table_id, 0 AS row_idx, 0 AS col_idx, 'Label' AS name, event_type AS raw FROM t WHERE table_id % 6 <> 4 UNION ALL
+SELECT table_id, 0, 1, '2024', CAST(user_id AS VARCHAR) FROM t WHERE table_id % 6 <> 4 UNION ALL SELECT table_id, 1, 0, 'Label', CASE table_id % 6 WHEN 0 THEN 'x' ELSE '7' END FROM t WHERE table_id % 6 IN (0, 5) UNION ALL
+SELECT table_id, 1, 1, '2024', '' FROM t WHERE table_id % 6 IN (0, 5)""")
 def response_cells(t):
     return parse.to_cells(parse.parse_responses(t))
 
@@ -684,11 +687,7 @@ def page_best_title(t):
 @query(I.EVENTS, """WITH g AS (SELECT *, CASE WHEN hour - lag(hour) OVER (PARTITION BY user_id ORDER BY hour, event_id) > 5 THEN 1 ELSE 0 END AS far FROM t)
 SELECT user_id, event_id, (sum(far) OVER (PARTITION BY user_id ORDER BY hour, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS cluster FROM g""")
 def gap_clusters(t):
-    # events of one hour are told apart by a fraction of it
-    spread = t.withColumn("at", F.struct("hour", "event_id"))
-    w = Window.partitionBy("user_id").orderBy("at")
-    far = F.coalesce(F.col("hour") - F.lag("hour").over(w) > 5, F.lit(False)).cast("int")
-    return spread.withColumn("far", far).select("user_id", "event_id", F.sum("far").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cluster"))
+    return pages.gap_clusters(t, "user_id", "hour", ties=("event_id",)).select("user_id", "event_id", "cluster")
 
 
 @query(I.EVENTS, """WITH h AS (SELECT DISTINCT user_id, hour FROM t), g AS (SELECT *, CASE WHEN hour - lag(hour) OVER (PARTITION BY user_id ORDER BY hour) > 5 THEN 1 ELSE 0 END AS far FROM h),

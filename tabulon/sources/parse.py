@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The line below the header of a pipe table.
+RULE = r"^[\s|:\-]*-[\s|:\-]*$"
 TABLE = "struct<columns:array<string>,rows:array<map<string,string>>>"
 
 
@@ -28,9 +30,32 @@ def fast_parse(responses: DataFrame) -> DataFrame:
     body = unfenced(F.col("text"))
     new = F.from_json(body, TABLE)
     old = F.from_json(body, "struct<table:array<map<string,string>>>")
-    rows = F.coalesce(new["rows"], old["table"])
-    names = F.coalesce(new["columns"], F.map_keys(F.try_element_at(rows, F.lit(1))))
-    return responses.withColumn("table", F.when(rows.isNotNull(), F.struct(F.filter(names, lambda c: c != "type").alias("columns"), rows.alias("rows"))))
+    rows = F.filter(F.coalesce(new["rows"], old["table"]), lambda r: r.isNotNull())
+    # a map cannot hold a key twice: such rows are for the salvage, which renames
+    plain = F.forall(rows, lambda r: F.size(F.map_keys(r)) == F.size(F.array_distinct(F.map_keys(r))))
+    given = F.coalesce(new["columns"], F.expr("CAST(array() AS array<string>)"))
+    names = F.array_distinct(F.concat(given, F.flatten(F.transform(rows, F.map_keys))))
+    return responses.withColumn("table", F.when(rows.isNotNull() & plain, F.struct(F.filter(names, lambda c: c != "type").alias("columns"), rows.alias("rows"))))
+
+
+def pipe_table(text: Column) -> Column:
+    """The table of a text with a rule line below a header line, else null; all in the JVM.
+
+    Empty cells are dropped as the marks at the edges are, so values stand to the left; a header that repeats gets _2,
+    _3; cells beyond the header are _extra_0, _extra_1.
+    """
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.contains("|"))
+    kinds = F.transform(lines, lambda x: x.rlike(RULE))
+    cells = F.transform(lines, lambda x: F.filter(F.transform(F.split(x, r"\|"), lambda c: F.trim(c)), lambda c: c != ""))
+    at = F.array_position(kinds, F.lit(True)).cast("int")
+    heads = F.try_element_at(cells, at - 1)
+    nth = lambda i, n: F.size(F.filter(F.slice(heads, F.lit(1), i + 1), lambda x: x == n))
+    names = F.transform(heads, lambda n, i: F.when(nth(i, n) > 1, F.concat(n, F.lit("_"), nth(i, n).cast("string"))).otherwise(n))
+    body = F.transform(F.filter(F.arrays_zip(cells.alias("c"), kinds.alias("k"), F.sequence(F.lit(1), F.size(lines)).alias("at")), lambda z: (z["at"] > at) & ~z["k"]), lambda z: z["c"])
+    name = lambda i: F.coalesce(F.try_element_at(names, i + 1), F.concat(F.lit("_extra_"), (i - F.size(names)).cast("string")))
+    rows = F.transform(body, lambda r: F.map_from_entries(F.transform(r, lambda c, i: F.struct(name(i), c))))
+    columns = F.array_distinct(F.concat(names, F.flatten(F.transform(rows, F.map_keys))))
+    return F.when((at > 1) & (F.size(lines) > 1), F.struct(columns.alias("columns"), rows.alias("rows")))
 
 
 def salvage(text: str | None) -> tuple[list[str], list[dict[str, str]]] | None:
@@ -69,9 +94,8 @@ def salvage(text: str | None) -> tuple[list[str], list[dict[str, str]]] | None:
     rows = [{str(k): "" if v is None else str(v) for k, v in r.items()} for r in rows if isinstance(r, dict)]
     if not rows:
         return None
-    if not isinstance(columns, list):
-        columns = [k for k in dict.fromkeys(k for r in rows for k in r) if k != "type"]
-    return [str(c) for c in columns], rows
+    given = [str(c) for c in columns] if isinstance(columns, list) else []
+    return [c for c in dict.fromkeys([*given, *(k for r in rows for k in r)]) if c != "type"], rows
 
 
 def _pairs(items: list[tuple]) -> dict:
@@ -98,8 +122,8 @@ def _value(text: str) -> object:
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """responses (table_id, text) with table and how (fast, salvaged, failed); one scan, failures stay rows."""
-    first = fast_parse(responses)
+    """responses (table_id, text) with table and how (fast, pipe, salvaged, failed); one scan, failures stay rows."""
+    first = fast_parse(responses).withColumn("__pipe", F.when(F.col("table").isNull(), pipe_table(F.col("text"))))
 
     @F.pandas_udf(TABLE)
     def slow(texts: pd.Series) -> pd.DataFrame:
@@ -107,11 +131,11 @@ def parse_responses(responses: DataFrame) -> DataFrame:
         return pd.DataFrame({"columns": [f and f[0] for f in found], "rows": [f and f[1] for f in found]})
 
     # the function sees null for rows that are parsed already
-    rest = slow(F.when(F.col("table").isNull(), F.col("text")))
+    rest = slow(F.when(F.col("table").isNull() & F.col("__pipe").isNull(), F.col("text")))
     met = first.withColumn("__slow", rest)
     ok = F.col("__slow.rows").isNotNull()
-    how = F.when(F.col("table").isNotNull(), "fast").when(ok, "salvaged").otherwise("failed")
-    return met.withColumn("how", how).withColumn("table", F.coalesce("table", F.when(ok, F.col("__slow")))).drop("__slow")
+    how = F.when(F.col("table").isNotNull(), "fast").when(F.col("__pipe").isNotNull(), "pipe").when(ok, "salvaged").otherwise("failed")
+    return met.withColumn("how", how).withColumn("table", F.coalesce("table", "__pipe", F.when(ok, F.col("__slow")))).drop("__slow", "__pipe")
 
 
 def to_cells(parsed: DataFrame) -> DataFrame:
@@ -125,7 +149,7 @@ def pipe_cells(responses: DataFrame) -> DataFrame:
     cells are dropped as the marks at the edges are, so values stand to the left."""
     lines = responses.select("table_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line")).filter(F.col("line").contains("|"))
     cells = F.filter(F.transform(F.split("line", r"\|"), lambda c: F.trim(c)), lambda c: c != "")
-    marked = lines.withColumn("is_rule", F.col("line").rlike(r"^[\s|:\-]*-[\s|:\-]*$")).withColumn("cells", cells)
+    marked = lines.withColumn("is_rule", F.col("line").rlike(RULE)).withColumn("cells", cells)
     rule = marked.filter("is_rule").groupBy("table_id").agg(F.min("at").alias("rule_at"))
     met = marked.join(rule, "table_id")
     names = met.filter("at < rule_at").groupBy("table_id").agg(F.max_by("cells", "at").alias("names"))
