@@ -251,8 +251,10 @@ class Transducer:
         _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
         # words of one hash are compared with its first word; one that differs stands for itself
         long, model = ends - begins, one[which]
+        other = long != long[model]
         at = np.arange(len(points)) + np.repeat(begins[model] - begins, long)
-        other = np.logical_or.reduceat(points[np.minimum(at, len(points) - 1)] != points, begins) | (long != long[model])
+        differ = np.flatnonzero(points[np.minimum(at, len(points) - 1)] != points)
+        other[np.searchsorted(begins, differ, side="right") - 1] = True
         if other.any():
             which[other] = len(one) + np.arange(int(other.sum()))
             one = np.append(one, np.flatnonzero(other))
