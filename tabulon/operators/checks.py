@@ -9,17 +9,17 @@ from tabulon.functions import patterns as P
 from tabulon.functions import scalars as S
 
 
-def coverage(rows: DataFrame, has_numeric_header: Column | None = None) -> DataFrame:
-    """(table_id, n_rows, n_section, n_data, n_total, confidence, is_valid): what a whole statement has."""
+def coverage(rows: DataFrame, has_numeric_header: Column | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
+    """(table_id, n_rows, n_section, n_data, n_total, confidence, is_valid): what a whole statement has; and further aggregates."""
     n = lambda k: F.count_if(F.col("row_type") == k)
-    a = rows.groupBy("table_id").agg(F.count("*").alias("n_rows"), n("section").alias("n_section"), n("data").alias("n_data"), n("total").alias("n_total"), F.min_by(S.clean("label"), "row_idx").alias("first"))
+    a = rows.groupBy("table_id").agg(F.count("*").alias("n_rows"), n("section").alias("n_section"), n("data").alias("n_data"), n("total").alias("n_total"), F.min_by(S.clean("label"), "row_idx").alias("first"), F.struct(F.lit(0).alias("_"), *more).alias("more"))
     numeric = has_numeric_header if has_numeric_header is not None else F.lit(True)
     faults = ((F.col("n_rows") < 5, 0.3), (F.col("n_section") == 0, 0.2), (F.col("n_data") == 0, 0.4), (F.col("n_total") == 0, 0.1), (F.coalesce(F.col("first"), F.lit("")) == "", 0.1), (~numeric, 0.3))
     score = F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.when(c, w).otherwise(0.0) for c, w in faults), F.lit(0.0)))
     clean = ~faults[0][0]
     for c, _ in faults[1:]:
         clean = clean & ~c
-    return a.select("table_id", "n_rows", "n_section", "n_data", "n_total", F.round(score, 6).alias("confidence"), clean.alias("is_valid"))
+    return a.select("table_id", "n_rows", "n_section", "n_data", "n_total", F.round(score, 6).alias("confidence"), clean.alias("is_valid"), "more.*").drop("_")
 
 
 def extraction_confidence(cover: DataFrame, n_dates: Column, schema_ok: Column, any_role: Column) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import patterns as P
 from tabulon.functions import scalars as S
 from tabulon.operators import checks, columns, merge, pages, statements
+from tabulon.plans import chain
 from tabulon.plans import inputs as I
 from tabulon.sources import parse
 
@@ -515,6 +516,66 @@ def correction_log(t):
     return out.select("table_id", "row_idx", F.lit("var_amount").alias("field"), old.alias("old_value"), F.col("new_amount").alias("new_value"), F.col("amount_code").alias("code"))
 
 
+# the chain from responses to validated tables
+
+
+def _responses(t: DataFrame) -> DataFrame:
+    """A response a table, as JSON text; the periods of odd tables stand in reverse."""
+    odd, earlier = F.col("table_id") % 2 == 1, F.when(F.col("table_id") % 7 == 3, "Solde").otherwise("31/12/2023")
+    cells = {"Libellé": "label", "Note": "note", "31/12/2024": "cur_text", "Variation Montant": "amount_text", "Variation %": "percent_text"}
+    row = F.map_concat(F.create_map(*(x for k, v in cells.items() for x in (F.lit(k), F.col(v)))), F.create_map(earlier, F.col("prev_text")))
+    dates = [F.when(odd, earlier).otherwise(F.lit("31/12/2024")), F.when(odd, F.lit("31/12/2024")).otherwise(earlier)]
+    names = F.array(F.lit("Libellé"), F.lit("Note"), *dates, F.lit("Variation Montant"), F.lit("Variation %"))
+    a = t.select("table_id", "line", row.alias("row"), names.alias("names")).groupBy("table_id", "names").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", F.to_json("row").alias("j")))), lambda x: x["j"]).alias("rows"))
+    return a.select("table_id", F.concat(F.lit('{"columns": '), F.to_json("names"), F.lit(', "rows": ['), F.array_join("rows", ","), F.lit("]}")).alias("text"))
+
+
+def _chain_rows(t: DataFrame) -> DataFrame:
+    return chain.statement_rows(parse.parse_responses(_responses(t)))
+
+
+CHAINED = """WITH h AS (SELECT table_id, CASE WHEN table_id % 7 = 3 THEN 1 ELSE 2 END AS n_dates, CASE WHEN table_id % 7 = 3 THEN 0.77 ELSE 1.0 END AS hc FROM t GROUP BY table_id),
+n AS (SELECT table_id, count(*) AS n_rows, count(*) FILTER (WHERE row_type = 'section') AS ns, count(*) FILTER (WHERE row_type = 'data') AS nd, count(*) FILTER (WHERE row_type = 'total') AS nt, median(abs(p)) AS med FROM t GROUP BY table_id),
+g AS (SELECT h.*, nt, n_rows, med, round(((greatest(0, 1 - 0.3 * (n_rows < 5)::INT - 0.2 * (ns = 0)::INT - 0.4 * (nd = 0)::INT - 0.1 * (nt = 0)::INT) + hc) / 2)::DOUBLE, 6) AS confidence, n_rows >= 5 AND ns > 0 AND nd > 0 AND nt > 0 AS whole FROM h JOIN n USING (table_id)),
+k AS (SELECT *, CASE WHEN NOT whole OR n_dates < 2 OR confidence < 0.7 THEN 'none' ELSE 'safe' END AS mode FROM g),
+r AS (SELECT t.table_id, t.line AS row_idx, row_type, label, t.note, c::DOUBLE AS c, p::DOUBLE AS p, m::DOUBLE AS m, tenths / 10.0::DOUBLE AS pct, stray, bad, bare, mode <> 'none' AS applies, mode <> 'none' AND row_type <> 'section' AS live, med FROM t JOIN k USING (table_id)),
+a AS (SELECT *, CASE WHEN c - p IS NULL THEN NULL WHEN m IS NULL THEN 'variation_amount_computed' WHEN abs(c - p - m) > 1 THEN 'variation_amount_corrected' END AS ac FROM r),
+b AS (SELECT *, CASE WHEN ac IS NULL THEN m ELSE c - p END AS na FROM a),
+s AS (SELECT *, CASE WHEN p <> 0 THEN na / p * 100 END AS share, coalesce(p, 0) = 0 AS zero FROM b),
+u AS (SELECT *, CASE WHEN zero THEN CASE WHEN pct IS NOT NULL THEN 'percent_cleared_division_by_zero' END WHEN share IS NULL THEN NULL WHEN pct IS NULL THEN 'percent_computed' WHEN abs(share - pct) > 0.5 THEN 'percent_corrected' END AS pc FROM s),
+v AS (SELECT *, CASE WHEN zero THEN NULL WHEN pc IS NOT NULL THEN share ELSE pct END AS np FROM u),
+w AS (SELECT *, CASE WHEN sign(np) <> sign(na) THEN 'sign_consistency_corrected' END AS sc, CASE WHEN sign(np) <> sign(na) THEN sign(na) * abs(np) ELSE np END AS sp FROM v),
+f AS (SELECT *, CASE WHEN c = p AND (na <> 0 OR coalesce(sp, 1) <> 0) THEN 'equal_periods' END AS ec, live AND stray AND note = '' AND med >= 10000 AS moved,
+  CASE WHEN NOT live THEN m WHEN c = p THEN 0 ELSE na END AS fa, CASE WHEN NOT live THEN pct WHEN c = p THEN 0 ELSE sp END AS fp FROM w)"""
+
+
+@query(I.CHAIN, CHAINED + " SELECT table_id, row_idx, row_type, label, CASE WHEN moved THEN '4.2' ELSE note END AS note, c AS cur, p AS prev, fa AS var_amount, fp AS var_percent, applies FROM f")
+def validated_tables(t):
+    return chain.validated_tables(chain.corrected_rows(_chain_rows(t)))
+
+
+@query(I.CHAIN, CHAINED + """ SELECT table_id, row_idx, 'var_amount' AS field, ac AS code, m AS old_value, fa AS new_value FROM f WHERE live AND ac IS NOT NULL
+UNION ALL SELECT table_id, row_idx, 'var_percent', code, pct, fp FROM (SELECT *, unnest([pc, sc, ec]) AS code FROM f WHERE live) z WHERE code IS NOT NULL
+UNION ALL SELECT table_id, row_idx, 'var_percent', 'percent_formatted', pct, pct FROM f WHERE live AND bare UNION ALL SELECT table_id, row_idx, 'note', 'note_realigned', NULL, NULL FROM f WHERE moved
+UNION ALL SELECT table_id, row_idx, 'var_amount', 'malformed_cleared', NULL, NULL FROM f WHERE live AND bad""")
+def validation_log(t):
+    return chain.correction_log(chain.corrected_rows(_chain_rows(t)))
+
+
+@query(I.CHAIN, CHAINED + """, x AS (SELECT table_id, unnest([c, p, m]) AS num, unnest([false, stray AND table_id % 7 <> 3, false]) AS high FROM r WHERE row_type <> 'section'),
+xm AS (SELECT table_id, median(abs(num)) AS med FROM x GROUP BY table_id),
+y AS (SELECT table_id, count(*) FILTER (WHERE high) AS n_high, count(*) FILTER (WHERE NOT high AND med > 10000 AND abs(num) < 50 AND abs(num) / med < 0.0001) AS n_medium FROM x JOIN xm USING (table_id) GROUP BY table_id),
+sums AS (SELECT table_id, section, sum(CASE WHEN label LIKE 'Moins%' THEN -abs(c) ELSE c END) AS expected FROM t WHERE row_type = 'data' GROUP BY table_id, section),
+e AS (SELECT table_id, count(*) FILTER (WHERE c IS NULL OR abs(c - expected) > 2) AS n_errors FROM t JOIN sums USING (table_id, section) WHERE row_type = 'total' GROUP BY table_id),
+q AS (SELECT table_id, mode, confidence, n_dates, coalesce(n_errors, 0) AS n_errors, nt AS n_totals, n_high, round(least(0.5, n_high * 0.05 + (n_high + n_medium)::DOUBLE / (n_rows * 6) * 0.3), 6) AS penalty, 0.3 + 0.3 * least(n_dates / 2, 1) + 0.2 + 0.2 * hc AS quality
+  FROM k JOIN y USING (table_id) LEFT JOIN e USING (table_id)),
+j AS (SELECT *, round(greatest(0, 0.3 * quality + 0.3 * (1 - penalty) + 0.2 * CASE WHEN n_totals = 0 THEN 1 ELSE greatest(0, 1 - n_errors / greatest(n_totals * n_dates, 1)) END + 0.2 - penalty - least(0.3, n_errors * 0.05))::DOUBLE, 6) AS score FROM q),
+i AS (SELECT *, (n_high > 5)::INT + (n_errors > 2)::INT + (score < 0.3)::INT AS n_reasons FROM j)
+SELECT table_id, mode, confidence, n_errors, n_totals, n_high, penalty, score, n_reasons, n_reasons = 0 AS is_reliable, CASE WHEN score >= 0.7 AND n_reasons = 0 THEN 'accept' WHEN score >= 0.4 OR n_reasons <= 1 THEN 'review' ELSE 'reject' END AS action FROM i""")
+def validation_report(t):
+    return chain.report(_chain_rows(t))
+
+
 # dedup and merge
 
 PAGE_ROWS = f"""

@@ -62,6 +62,33 @@ SELECT table_id, row_idx, section, CASE kind WHEN 0 THEN 'section' WHEN 1 THEN '
 FROM n
 """
 
+#: Statements as the cells of a response: reversed periods, misplaced notes, malformed amounts, bare percents, tables
+#: without totals, sections or a second period; c, p, m and pct are what the texts say.
+CHAIN = f"""
+WITH s AS (
+  SELECT *, CASE WHEN label LIKE 'Moins%' THEN -1 ELSE 1 END AS sgn FROM ({STATEMENT}) z),
+b AS (
+  SELECT table_id, row_idx, row_type, section, label, CASE WHEN row_type = 'section' THEN '' ELSE note END AS note,
+    CASE row_type WHEN 'data' THEN coalesce(cur, 0) WHEN 'total' THEN CASE WHEN table_id % 5 = 4 THEN NULL ELSE w + CASE WHEN table_id % 2 = 1 THEN 500 ELSE 0 END END END AS c,
+    CASE row_type WHEN 'data' THEN coalesce(prev, 0) WHEN 'total' THEN v END AS p0
+  FROM (SELECT *, CAST(SUM(CASE WHEN row_type = 'data' THEN sgn * coalesce(cur, 0) END) OVER (PARTITION BY table_id, section) AS BIGINT) AS w,
+          CAST(SUM(CASE WHEN row_type = 'data' THEN sgn * coalesce(prev, 0) END) OVER (PARTITION BY table_id, section) AS BIGINT) AS v FROM s) y
+  WHERE NOT (table_id % 6 = 1 AND row_type = 'total') AND NOT (table_id % 6 = 2 AND row_type = 'section')),
+d AS (
+  SELECT *, row_type = 'data' AND row_idx % 17 = 5 AS stray, row_type = 'data' AND row_idx % 19 = 7 AS bad,
+    CASE WHEN row_type = 'section' OR row_idx % 3 = 0 THEN NULL WHEN row_idx % 3 = 1 THEN c - p0 + 500 ELSE c - p0 END AS m0,
+    CASE WHEN row_type = 'section' OR row_idx % 4 = 0 THEN NULL WHEN row_idx % 4 = 1 THEN CAST(125 AS BIGINT)
+      WHEN p0 <> 0 THEN CAST(FLOOR(CAST(c - p0 AS DOUBLE) * 1000 / CAST(p0 AS DOUBLE)) AS BIGINT) END AS tenths FROM b),
+e AS (
+  SELECT table_id, row_idx, row_type, section, label, note, c, stray, bad, row_idx % 4 = 2 AND tenths IS NOT NULL AS bare,
+    CASE WHEN stray OR table_id % 7 = 3 THEN NULL ELSE p0 END AS p, CASE WHEN bad THEN NULL ELSE m0 END AS m, tenths,
+    coalesce(CAST(c AS VARCHAR(20)), '') AS cur_text, CASE WHEN stray THEN '4.2' ELSE coalesce(CAST(p0 AS VARCHAR(20)), '') END AS prev_text,
+    CASE WHEN bad THEN '12abc' ELSE coalesce(CAST(m0 AS VARCHAR(20)), '') END AS amount_text,
+    CASE WHEN tenths IS NULL THEN '' ELSE CASE WHEN tenths < 0 THEN '-' ELSE '' END || CAST(CAST(FLOOR(abs(tenths) / 10) AS BIGINT) AS VARCHAR(20)) || ',' || CAST(abs(tenths) % 10 AS VARCHAR(2)) || CASE WHEN row_idx % 4 = 2 THEN '' ELSE '%' END END AS percent_text
+  FROM d)
+SELECT *, CAST(row_number() OVER (PARTITION BY table_id ORDER BY row_idx) - 1 AS INT) AS line FROM e
+"""
+
 HEADERS = """
 SELECT n_nationkey AS table_id, c AS col_idx,
   CASE n_nationkey % 5

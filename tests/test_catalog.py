@@ -9,7 +9,7 @@ import __spark_entry__
 from tests.test_cells import KINDS
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("classify_cells", "parse_numbers", "header_roles", "align_rows", "section_totals", "column_shift", "page_merge", "page_title_score", "gap_clusters", "reliability_action", "sign_consistency", "yoy_percent", "table_type", "cashflow_keywords", "parse_responses", "response_cells", "pipe_tables", "largest_cluster")
+NAMES = ("classify_cells", "parse_numbers", "header_roles", "align_rows", "section_totals", "column_shift", "page_merge", "page_title_score", "gap_clusters", "reliability_action", "sign_consistency", "yoy_percent", "table_type", "cashflow_keywords", "parse_responses", "response_cells", "pipe_tables", "largest_cluster", "validated_tables", "validation_log", "validation_report")
 
 
 @pytest.mark.parametrize("name", NAMES)
