@@ -123,7 +123,14 @@ def format_numbers(t):
     return t.filter("cur IS NOT NULL").select("table_id", "row_idx", S.format_number(F.col("cur") / 100).alias("shown"))
 
 
-@query(I.CELLS)
+def _beside(x: str, letters: str, digit: str, step: int) -> str:
+    """SQL: the letters of x whose neighbour is a digit as the digit; there are no lookarounds in that engine."""
+    return f"array_to_string(list_transform(string_split({x}, ''), lambda c, i: CASE WHEN c IN ({letters}) AND i + {step} > 0 AND regexp_matches(substr({x}, i + {step}, 1), '[0-9]') THEN '{digit}' ELSE c END), '')"
+
+
+@query(I.CELLS, f"""WITH a AS (SELECT table_id, row_idx, col_idx, trim(translate(raw, '10', 'lO')) AS v FROM t), b AS (SELECT *, {_beside('v', "'l', 'I'", '1', -1)} AS w FROM a),
+c AS (SELECT *, {_beside('w', "'l', 'I'", '1', 1)} AS x FROM b), d AS (SELECT *, {_beside('x', "'O'", '0', -1)} AS y FROM c), e AS (SELECT *, {_beside('y', "'O'", '0', 1)} AS z FROM d)
+SELECT table_id, row_idx, col_idx, CASE WHEN regexp_matches(v, '[0-9]') THEN regexp_replace(z, '\\s+', ' ', 'g') ELSE v END AS repaired FROM e""")
 def ocr_repair(t):
     return t.select(*KEY, S.repair_ocr(F.translate("raw", "10", "lO")).alias("repaired"))
 
@@ -740,7 +747,12 @@ def page_density(t):
     return pages.line_density(t)
 
 
-@query(I.PAGES)
+@query(I.PAGES, r"""WITH l AS (SELECT doc_id, page_no, unnest(string_split(coalesce(text, ''), chr(10))) AS raw_line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM t),
+s AS (SELECT doc_id, page_no, i, trim(raw_line) AS s, lower(strip_accents(trim(raw_line))) AS low FROM l),
+f AS (SELECT *, CASE WHEN regexp_matches(low, 'bilan|resultat|engagement|flux|balance|income|cash flow') THEN 100 ELSE 0 END + CASE WHEN s = upper(s) THEN 50 ELSE 0 END
+  + CASE WHEN regexp_matches(s, '[0-9]') THEN 0 ELSE 30 END - CASE WHEN regexp_matches(s, '[*#%$&|]') THEN 20 ELSE 0 END AS score FROM s WHERE length(s) >= 4 AND length(regexp_replace(s, '[^0-9]', '', 'g')) * 10 <= length(s) * 3),
+b AS (SELECT doc_id, page_no, s FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, page_no ORDER BY score DESC, i) = 1)
+SELECT t.doc_id, t.page_no, coalesce(b.s, 'UNKNOWN') AS title FROM t LEFT JOIN b ON b.doc_id = t.doc_id AND b.page_no = t.page_no""")
 def page_best_title(t):
     return pages.best_title(t)
 
