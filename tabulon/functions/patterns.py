@@ -13,6 +13,10 @@ EDGES = r"(?U)^\s+|\s+$"
 DATE_HEADER = r"^\s*\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}\s*$"
 YEAR_HEADER = r"^20\d{2}$"
 DATE_TOKEN = r"\d{2}[/.\-]\d{2}[/.\-]\d{4}|\d{4}[/.\-]\d{2}[/.\-]\d{2}|(?:^|\s)\d{4}(?:\s|$)"
+FULL_DATE = r"^\d{1,2}([/.\-])\d{1,2}\1\d{4}$"
+DATE_NAMES = (r"^\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}$", r"^\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2}$", r"^\d{4}$",
+              r"^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre)")
+LOOSE_NOTE = r"(?i)^(?:\(\s*[1-9]\s*\)|\(\s*\d{1,2}[.\-]\d{1,2}\s*\)|[IVXLCDM]{1,6}\.\d{1,2}|\d{1,2}[.\-]\d{1,2}|(?:[1-9]|[1-4][0-9]|50)\s(?:[1-9]|[1-4][0-9]|50))$"
 SLASH_DATE, DOT_DATE = r"^\d{2}/\d{2}/\d{4}$", r"^\d{2}\.\d{2}\.\d{4}$"
 
 HEADER_NAMES = {
@@ -28,6 +32,8 @@ LABEL_WORDS = ("label", "libelle", "libelle poste", "poste", "designation", "des
 NOTE_WORDS = ("note", "notes", "ref", "reference", "renvoi")
 AMOUNT_WORDS = ("variation montant", "variation en montant", "variation amount", "montant variation", "en montant", "mouvement", "ecart montant", "var montant", "var. montant")
 PERCENT_WORDS = ("variation %", "variation en %", "variation pct", "var %", "en %", "taux variation", "ecart %", "pct", "var. %", "en pourcentage")
+LABEL_HEADERS = ("libelle", "libellé", "libelle poste", "poste", "designation", "désignation", "description", "intitule", "intitulé", "rubriques",
+                 "elements", "éléments", "item", "items", "compte", "comptes")
 PLACEHOLDERS = ("col", "column", "field", "value", "data", "item")
 VARIATION_WORDS = ("variation", "var", "écart", "ecart", "mouvement", "change", "delta", "diff", "evolution")
 

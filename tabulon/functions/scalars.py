@@ -125,6 +125,28 @@ def format_percent(c: Column | str) -> Column:
     return F.when(n < 0, F.concat(F.lit("("), text, F.lit(")"))).otherwise(text)
 
 
+def is_text(c: Column | str) -> Column:
+    """A filled cell that is no number, percent or bracketed number once spaces go and commas are points."""
+    v = clean(c)
+    bare = F.replace(F.translate(F.replace(v, F.lit("("), F.lit("-")), ",", "."), F.lit(" "), F.lit(""))
+    return (v != "") & ~F.regexp_replace(bare, r"[%)]", "").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+
+
+def loose_note(c: Column | str) -> Column:
+    """The wider note test: two numbers up to 50 beside each other count too."""
+    return clean(c).rlike(P.LOOSE_NOTE)
+
+
+def percent_like(c: Column | str) -> Column:
+    return clean(c).contains("%")
+
+
+def number_like(c: Column | str) -> Column:
+    """Digits with at most one point or comma, spaces aside."""
+    v = F.translate(F.replace(clean(c), F.lit(" "), F.lit("")), ",", ".")
+    return v.rlike(r"^[-+]?\d*\.?\d+$")
+
+
 # headers
 
 
@@ -172,6 +194,40 @@ def header_role(c: Column | str) -> Column:
     )
 
 
+def is_variation_header(c: Column | str) -> Column:
+    return any_word(F.lower(clean(c)), ("variation", "montant", "%", "var", "ecart")) > 0
+
+
+def is_change_header(c: Column | str) -> Column:
+    """The wider test for headers of variations."""
+    return any_word(F.lower(clean(c)), P.VARIATION_WORDS) > 0
+
+
+def is_date_name(c: Column | str) -> Column:
+    """A date in either order, a year, or a name that begins with a month."""
+    v = F.lower(clean(c))
+    return v.rlike(P.DATE_NAMES[0]) | v.rlike(P.DATE_NAMES[1]) | v.rlike(P.DATE_NAMES[2]) | v.rlike(P.DATE_NAMES[3])
+
+
+def clean_title(c: Column | str) -> Column:
+    """A title without bracketed parts and quotes, spaces collapsed; null is empty."""
+    plain = F.regexp_replace(clean(c), r"(?U)\s+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\s*\([^)]*\)\s*", " "), "[\"']", ""), r"\s+", " "))
+
+
+def title_type(c: Column | str) -> Column:
+    """balance_sheet, income_statement, off_balance or null by the words of a title."""
+    up = F.upper(clean(c))
+    return F.when(up.contains("BILAN") | up.contains("BALANCE"), "balance_sheet").when(up.contains("RESULTAT") | up.contains("INCOME"), "income_statement").when(up.contains("ENGAGEMENT"), "off_balance")
+
+
+def token_budget(height: Column | str, width: Column | str) -> Column:
+    """How many tokens a page of this size in pixels may take."""
+    h = _col(height)
+    area = h.cast("long") * _col(width).cast("long")
+    return F.when((h > 1200) | (area > 1500000), 6144).when((h > 700) | (area > 800000), 4096).otherwise(2048)
+
+
 def period(c: Column | str) -> Column:
     """The date of a header in day, month, year order; null for other headers."""
     v = clean(c)

@@ -37,6 +37,13 @@ def correction_mode(confidence: Column, aggressive: bool = False) -> Column:
     return F.when(confidence < 0.7, "none").when(confidence < 0.85, "safe").otherwise("aggressive" if aggressive else "safe")
 
 
+def correction_allowed(confidence: Column, kind: Column, aggressive: bool = False) -> Column:
+    """Whether a correction of this kind may be made: the safe kinds in any mode but none, the others in the aggressive one."""
+    mode = correction_mode(confidence, aggressive)
+    safe = kind.isin("realignment", "warning", "validation")
+    return F.coalesce(((mode != "none") & safe) | ((mode == "aggressive") & kind.isin("shift", "recomputation", "cashflow", "total_fix")), F.lit(False))
+
+
 def consistency(cells: DataFrame, roles: DataFrame, rows: DataFrame) -> DataFrame:
     """(table_id, n_high, n_medium, penalty): numbers over 100 among notes and notes among numbers are high,
     whole numbers under 50 beside a median over 10 000 medium; section rows are left out."""

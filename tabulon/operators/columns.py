@@ -27,14 +27,19 @@ def header_roles(headers: DataFrame) -> DataFrame:
     return typed.withColumn("role", role).drop("kind", "nth", "fmt")
 
 
+def slot_score(label: Column, note: Column, dates: Column, amount: Column, percent: Column, unresolved: Column) -> Column:
+    """The confidence of a header from how many columns take each role; 0.3 at least where it has an amount or a period."""
+    score = 0.3 * label + 0.1 * note + F.least(0.2 * dates, F.lit(0.4)) + 0.1 * amount + 0.1 * percent - 0.03 * unresolved
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(((dates > 0) | (amount == 1)) & (score < 0.3), 0.3).otherwise(score)))
+
+
 def header_confidence(roles: DataFrame, *more: Column) -> DataFrame:
     """(table_id, n_dates, n_unresolved, confidence, is_valid, needs_fallback) from header_roles, and further aggregates."""
     has = lambda r: F.max((F.col("role") == r).cast("int"))
     n = lambda r: F.sum((F.col("role") == r).cast("int"))
     a = roles.groupBy("table_id").agg(has("label").alias("l"), has("note").alias("t"), has("var_amount").alias("a"), has("var_percent").alias("p"), n("date").alias("n_dates"), n("unresolved").alias("n_unresolved"), F.struct(F.lit(0).alias("_"), *more).alias("more"))
-    score = 0.3 * F.col("l") + 0.1 * F.col("t") + F.least(0.2 * F.col("n_dates"), F.lit(0.4)) + 0.1 * F.col("a") + 0.1 * F.col("p") - 0.03 * F.col("n_unresolved")
     numeric = (F.col("n_dates") > 0) | (F.col("a") == 1)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(numeric & (score < 0.3), 0.3).otherwise(score)))
+    score = slot_score(*(F.col(c) for c in ("l", "t", "n_dates", "a", "p", "n_unresolved")))
     valid = (numeric | (F.col("p") == 1)) & (F.col("n_dates") <= 5)
     out = a.select("table_id", "n_dates", "n_unresolved", F.round(score, 6).alias("confidence"), valid.alias("is_valid"), "more.*").drop("_")
     return out.withColumn("needs_fallback", ~F.col("is_valid") | (F.col("confidence") < 0.3) | (F.col("n_dates") == 0))

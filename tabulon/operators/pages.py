@@ -184,3 +184,18 @@ def best_title(pages: DataFrame) -> DataFrame:
 
     scored = F.transform(fits, lambda x: F.struct((-score(x)).alias("n"), x["i"].alias("i"), x["s"].alias("s")))
     return pages.select("doc_id", "page_no", F.coalesce(F.array_min(scored)["s"], F.lit("UNKNOWN")).alias("title"))
+
+
+def table_score(pages: DataFrame, line_score: Column | None = None, least: float = 0.02) -> DataFrame:
+    """(doc_id, page_no, table_score, is_table): density of digits, share of lines with four digits, and of ruled lines.
+
+    ``line_score`` (0 to 1) comes from the page's image; without it that part is 0.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    digits = lambda x: F.length(F.regexp_replace(x, "[^0-9]", ""))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    density = digits(text) / F.greatest(F.length(text), F.lit(1))
+    ratio = F.size(F.filter(lines, lambda x: digits(x) >= 4)) / F.greatest(F.size(lines), F.lit(1))
+    one = F.lit(1.0)
+    score = 0.45 * F.least(one, density / 0.22) + 0.35 * (line_score if line_score is not None else F.lit(0.0)) + 0.2 * F.least(one, ratio / 0.35)
+    return pages.select("doc_id", "page_no", F.round(score, 3).alias("table_score"), (score >= least).alias("is_table"))

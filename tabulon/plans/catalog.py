@@ -312,7 +312,7 @@ def total_mismatch(t):
 
 
 @query(I.STATEMENT, TOTALS.format(part="cur", tolerance=200) + """ SELECT table_id, row_idx, CASE WHEN fix THEN expected ELSE actual END AS corrected, fix AS was_corrected
-FROM (SELECT *, coalesce(status = 'missing' OR (abs(expected - actual) > 200 AND abs(expected - actual) * 2 < abs(expected)), false) AS fix FROM c)""")
+FROM (SELECT *, coalesce(status = 'missing' OR (abs(expected - actual) > 200 AND abs(expected - actual) * 2 < abs(actual)), false) AS fix FROM c)""")
 def corrected_totals(t):
     return statements.corrected_totals(statements.total_checks(t, 200), 200).select("table_id", "row_idx", "corrected", "was_corrected")
 

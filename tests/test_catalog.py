@@ -9,7 +9,8 @@ import __spark_entry__
 from tests.test_cells import KINDS
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("classify_cells", "parse_numbers", "header_roles", "align_rows", "section_totals", "column_shift", "page_merge", "page_title_score", "gap_clusters", "reliability_action", "sign_consistency", "yoy_percent", "table_type", "cashflow_keywords", "parse_responses", "response_cells", "pipe_tables", "largest_cluster", "validated_tables", "validation_log", "validation_report")
+NAMES = ("classify_cells", "parse_numbers", "header_roles", "align_rows", "section_totals", "column_shift", "page_merge", "page_title_score", "gap_clusters", "reliability_action", "sign_consistency", "yoy_percent", "table_type", "cashflow_keywords", "parse_responses", "response_cells", "pipe_tables", "largest_cluster", "validated_tables", "validation_log", "validation_report",
+         "clean_schema", "project_rows", "label_columns", "ensure_labels", "merge_schemas", "statement_sections", "recomputed_totals", "corrected_totals", "amount_recovery", "safe_shift", "realigned_notes")
 
 
 @pytest.mark.parametrize("name", NAMES)
