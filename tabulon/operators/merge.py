@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
@@ -36,45 +37,34 @@ def duplicate_ratio(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return a.withColumn("ratio", F.round(ratio, 6)).withColumn("is_valid", ratio <= 0.20)
 
 
-def fuzzy_dedup(rows: DataFrame, label: str = "label", percent: str = "var_percent", filled: Sequence[str] = ()) -> DataFrame:
+def fuzzy_dedup(rows: DataFrame, label: str = "label", percent: str = "var_percent", filled: Sequence[str] = (), kind: str = "row_type") -> DataFrame:
     """Greedy pass over each table in row order: a row like an earlier one by label (ratio 0.985 and up) and percent
     replaces it if it has more filled cells, else goes.
 
+    Labels and percents are met in the form of ``compare_key``; percents are alike where they are equal or both empty.
+    Sections and totals (``kind``, where there is such a column) without a percent also go where one of that label was
+    there before.  Rows with an empty label stay, but for those equal in ``filled`` and kind to a row that stayed.
+
     The rows of a table lie together, ordered, in a partition and stream through the function, which holds the
-    kept rows of one table at a time; a table is what a page holds.
+    kept rows of one table at a time, by percent; a table is what a page holds.
     """
     columns = rows.columns
     at = {c: i for i, c in enumerate(columns)}
-    counted = [at[c] for c in (filled or columns) if c in at]
+    counted = [at[c] for c in (filled or [c for c in columns if c not in ("table_id", "row_idx", kind)]) if c in at]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, kept = object(), []
+        table, kept = object(), _Kept()
         for part in parts:
             done = []
             for row in part.itertuples(index=False, name=None):
                 if row[at["table_id"]] != table:
-                    done += [r for *_, r in kept]
-                    table, kept = row[at["table_id"]], []
-                _keep(kept, row)
+                    done += kept.rows
+                    table, kept = row[at["table_id"]], _Kept()
+                values = [_key(row[i]) for i in counted]
+                size = sum(1 for i in counted if row[i] is not None and row[i] == row[i] and str(row[i]).strip() != "")
+                kept.add(row, _key(row[at[label]]), _key(row[at[percent]]), row[at[kind]] if kind in at else None, values, size)
             yield pd.DataFrame(done, columns=columns)
-        yield pd.DataFrame([r for *_, r in kept], columns=columns)
-
-    def _keep(kept: list[tuple], row: tuple) -> None:
-        text, share = str(row[at[label]] or "").strip().lower(), row[at[percent]]
-        size = sum(1 for i in counted if row[i] is not None and row[i] == row[i] and row[i] != "")
-        for k, (other, matcher, other_share, other_size, _) in enumerate(kept):
-            if not text or not (pd.isna(share) or pd.isna(other_share) or share == other_share):
-                continue
-            if text != other:
-                if 2 * min(len(text), len(other)) < LABEL_RATIO * (len(text) + len(other)):
-                    continue
-                matcher.set_seq1(text)
-                if matcher.quick_ratio() < LABEL_RATIO or matcher.ratio() < LABEL_RATIO:
-                    continue
-            if size > other_size:
-                kept[k] = (other, matcher, share, size, row)
-            return
-        kept.append((text, SequenceMatcher(None, "", text, autojunk=False), share, size, row))
+        yield pd.DataFrame(kept.rows, columns=columns)
 
     return rows.repartition("table_id").sortWithinPartitions("table_id", "row_idx").mapInPandas(run, rows.schema)
 
@@ -140,3 +130,47 @@ def balance_identity(rows: DataFrame, tolerance: float = 10.0) -> DataFrame:
     a = rows.groupBy("table_id").agg(first(P.ASSETS).alias("assets"), first(P.LIABILITIES).alias("liabilities"), first(P.EQUITY).alias("equity"))
     gap = F.least(F.abs(F.col("assets") - F.col("liabilities") - F.coalesce("equity", F.lit(0))), F.abs(F.col("assets") - F.col("liabilities")))
     return a.withColumn("difference", gap).withColumn("is_balanced", F.coalesce(F.col("difference") < tolerance, F.lit(False)))
+
+
+def _key(value: object) -> str:
+    """``compare_key`` of one value; null and NaN are empty."""
+    return "" if value is None or value != value else re.sub("[^a-z0-9%.,()/-]", "", str(value).lower())
+
+
+class _Kept:
+    """The rows of one table that stay, in order of their first place."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.signatures: set[tuple] = set()
+        self.headings: set[str] = set()
+        self.alike: dict[str, list[list]] = {}
+
+    def add(self, row: tuple, text: str, percent: str, kind: str | None, values: list[str], size: int) -> None:
+        signature = (*values, kind)
+        if signature in self.signatures:
+            return
+        if kind in ("section", "total") and text and not percent:
+            if text in self.headings:
+                return
+            self.headings.add(text)
+        for other in self.alike.get(percent, ()) if text else ():
+            if _alike(other[1], text):
+                if size > other[2]:
+                    self.rows[other[0]] = row
+                    other[1:] = [SequenceMatcher(None, "", text), size]
+                return
+        self.signatures.add(signature)
+        if text:
+            self.alike.setdefault(percent, []).append([len(self.rows), SequenceMatcher(None, "", text), size])
+        self.rows.append(row)
+
+
+def _alike(matcher: SequenceMatcher, text: str) -> bool:
+    """Whether a label is that of the matcher; lengths and counts of characters rule most out first."""
+    if text == matcher.b:
+        return True
+    if 2 * min(len(text), len(matcher.b)) < LABEL_RATIO * (len(text) + len(matcher.b)):
+        return False
+    matcher.set_seq1(text)
+    return matcher.quick_ratio() >= LABEL_RATIO and matcher.ratio() >= LABEL_RATIO

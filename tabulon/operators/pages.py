@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from tabulon.functions import scalars as S
 
 TYPES = tuple(P.PAGE_TITLES)
 FUZZY, GAP = 80, 5
+#: No run of words longer than this has a ratio of FUZZY to any title.
+LONGEST_RUN = max(len(t) for titles in P.PAGE_TITLES.values() for t in titles) * (200 - FUZZY) // FUZZY
+RUNS_AT_ONCE = 50000
 
 
 def folded(text: Column) -> Column:
@@ -123,26 +127,79 @@ def fuzzy_titles(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, kind, ratio): the best ratio of a title to one to five words of the first lines.
 
     The ratio is 100 times twice the longest common subsequence over both lengths, so no built-in expression
-    has it; batches go through Arrow.
+    has it; batches go through Arrow.  The distinct runs of words of many pages are compared with a title at once, a
+    bit of a 64-bit word for each of its characters.  Null and empty pages have no rows; pages that repeat have theirs each.
     """
     rows = pages.select("doc_id", "page_no", folded(first_lines(F.coalesce(F.col("text"), F.lit("")))).alias("lines"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for doc, page, lines in part.itertuples(index=False):
-                words = lines.split()
-                chunks = {" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(i + 5, len(words)) + 1)}
-                for kind, titles in P.PAGE_TITLES.items():
-                    best = max((indel_ratio(t, c) for t in titles for c in chunks if 2 * min(len(t), len(c)) * 100 >= FUZZY * (len(t) + len(c))), default=0.0)
-                    if best >= FUZZY:
-                        out.append((doc, page, kind, round(best, 4)))
-            yield pd.DataFrame(out, columns=["doc_id", "page_no", "kind", "ratio"])
+            best = {kind: np.zeros(len(part)) for kind in P.PAGE_TITLES}
+            owners, places, number = [], [], {}
+            for i, lines in enumerate(part["lines"]):
+                for c in word_runs(lines):
+                    owners.append(i)
+                    places.append(number.setdefault(c, len(number)))
+                    if len(owners) >= RUNS_AT_ONCE:
+                        _meet(best, owners, places, number)
+            _meet(best, owners, places, number)
+            keys = part[["doc_id", "page_no"]]
+            yield pd.concat([keys[r >= FUZZY].assign(kind=kind, ratio=r[r >= FUZZY].round(4)) for kind, r in best.items()])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInPandas(run, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, kind string, ratio double")
 
 
+def _meet(best: dict[str, np.ndarray], owners: list[int], places: list[int], number: dict[str, int]) -> None:
+    """Raise the best ratios of pages by their runs of words, and forget the runs."""
+    if owners:
+        for kind, ratios in title_ratios(list(number)).items():
+            np.maximum.at(best[kind], owners, ratios[places])
+    for seen in (owners, places, number):
+        seen.clear()
+
+
+def word_runs(text: str, most: int = 5) -> Iterator[str]:
+    """Runs of one to five words that are no longer than a title's ratio allows."""
+    words = text.split()
+    for i in range(len(words)):
+        run = words[i]
+        for j in range(i + 1, i + most + 1):
+            if len(run) > LONGEST_RUN:
+                break
+            yield run
+            if j >= len(words):
+                break
+            run = f"{run} {words[j]}"
+
+
+def title_ratios(runs: list[str]) -> dict[str, np.ndarray]:
+    """By statement type, the best ratio of its titles to each run of words; 0 where lengths alone keep it under FUZZY."""
+    size = np.array([len(r) for r in runs], dtype=np.int64)
+    chars = np.frombuffer("".join(r.ljust(LONGEST_RUN, "\0") for r in runs).encode("utf-32-le"), dtype="<u4").reshape(len(runs), LONGEST_RUN)
+    codes = np.where(chars < 128, chars, 0).astype(np.uint8)
+    out = {}
+    for kind, titles in P.PAGE_TITLES.items():
+        best = np.zeros(len(runs))
+        for title in titles:
+            near = np.flatnonzero(200 * np.minimum(size, len(title)) >= FUZZY * (size + len(title)))
+            best[near] = np.maximum(best[near], 200.0 * _common(title, codes[near]) / (size[near] + len(title)))
+        out[kind] = best
+    return out
+
+
+def _common(title: str, codes: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of a title of ASCII letters and rows of codes, 0 being no letter."""
+    places = np.zeros(128, dtype=np.uint64)
+    for i, c in enumerate(title):
+        places[ord(c)] |= np.uint64(1 << i)
+    open_ = np.full(len(codes), (1 << 64) - 1, dtype=np.uint64)
+    for column in codes.T:
+        met = open_ & places[column]
+        open_ = (open_ + met) | (open_ - met)
+    return np.bitwise_count(~open_ & np.uint64((1 << len(title)) - 1)).astype(np.int64)
+
+
 def indel_ratio(a: str, b: str) -> float:
     """100 * 2 * (longest common subsequence) / (both lengths)."""
     if not a and not b:

@@ -1,9 +1,13 @@
 """Operators on small tables, and the plans that they must have."""
 
 import json
+import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from tabulon.functions import patterns as P
 from tabulon.operators import merge, pages, statements
 from tabulon.sources import parse, sinks
 from tabulon.streaming import tables
@@ -64,6 +68,50 @@ def test_merge_and_fuzzy(spark):
     assert sorted((r.table_id, r.row_idx) for r in merge.fuzzy_dedup(f).collect()) == [("t", 1), ("t", 2), ("u", 0)]
 
 
+def test_fuzzy_repeats_against_pairs(spark):
+    """The stream of rows against the rule stated pair by pair over lists."""
+    from difflib import SequenceMatcher
+
+    base = "immobilisations corporelles et incorporelles nettes de la periode en cours au bilan"
+    draw = random.Random(3)
+    labels = ["", None, base, base + "s", base.upper(), "Total actif", "TOTAL  actif", "x" * 210, "x" * 209 + "y"]
+    rows = [(t, i, draw.choice(["section", "total", "data"]), draw.choice(labels), draw.choice([None, "", "12,5%", "12.5%", " 12,5% "]), draw.choice(["", "1", None])) for t in range(40) for i in range(12)]
+    clean = lambda v: re.sub("[^a-z0-9%.,()/-]", "", (v or "").lower())
+    want = []
+    for t in range(40):
+        kept, seen, headings = [], set(), set()
+        for row in (r for r in rows if r[0] == t):
+            text, share, sign = clean(row[3]), clean(row[4]), (*map(clean, row[3:]), row[2])
+            heading = row[2] != "data" and not share and text
+            if sign in seen or (heading and text in headings):
+                continue
+            headings |= {text} if heading else set()
+            size = lambda r: sum(bool((v or "").strip()) for v in r[3:])
+            for k, other in enumerate(kept):
+                if text and clean(other[3]) and share == clean(other[4]) and SequenceMatcher(None, text, clean(other[3])).ratio() >= 0.985:
+                    kept[k] = row if size(row) > size(other) else other
+                    break
+            else:
+                seen.add(sign)
+                kept.append(row)
+        want += kept
+    df = spark.createDataFrame(rows, "table_id int, row_idx int, row_type string, label string, var_percent string, a string")
+    assert sorted((r[0], r[1]) for r in merge.fuzzy_dedup(df).collect()) == sorted((r[0], r[1]) for r in want)
+
+
+def test_title_ratios(spark):
+    draw = random.Random(1)
+    titles = [t for group in P.PAGE_TITLES.values() for t in group]
+    runs = ["".join(c if draw.random() > 0.1 else draw.choice("aet é") for c in draw.choice(titles))[draw.randrange(3) :] for _ in range(300)] + ["", "a", "é" * 45]
+    got = pages.title_ratios(runs)
+    for kind, group in P.PAGE_TITLES.items():
+        want = [max((pages.indel_ratio(t, r) for t in group if 200 * min(len(t), len(r)) >= pages.FUZZY * (len(t) + len(r))), default=0.0) for r in runs]
+        assert got[kind].tolist() == pytest.approx(want)
+    long = "mot " * 60000 + "etat de resultaf"
+    df = spark.createDataFrame([(1, 1, long), (1, 2, None), (1, 3, ""), (1, 4, "bilan au"), (1, 4, "bilan au")], "doc_id int, page_no int, text string")
+    assert sorted((r.page_no, r.kind) for r in pages.fuzzy_titles(df).collect()) == [(1, "income_statement"), (4, "balance_sheet"), (4, "balance_sheet")]
+
+
 def test_plans_stay_in_the_jvm(spark):
     df = cells(spark, [["A", "1"]])
     plan = statements.align_rows(df)._jdf.queryExecution().executedPlan().toString()
