@@ -190,14 +190,29 @@ def runs(flags: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
 
+#: Bytes of runs that are hashed at once; the arrays take about 60 bytes for each.
+HASHED = 1 << 16
+
+
 def run_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[begin:end] for each run: the sum of random words, one for each (place, byte)."""
     if not len(begins):
         return np.zeros(0, np.uint64)
-    sizes = ends - begins
-    first = np.append(0, np.cumsum(sizes))[:-1]
-    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    inside = data[place + np.repeat(begins, sizes)].astype(np.uint64)
+    parts = np.maximum(1, -(-(ends - begins) // HASHED))
+    head = np.cumsum(parts) - parts
+    base = (np.arange(int(parts.sum())) - np.repeat(head, parts)) * HASHED
+    start = np.repeat(begins, parts) + base
+    sizes = np.minimum(np.repeat(ends, parts) - start, HASHED)
+    sums = np.zeros(len(sizes), np.uint64)
+    cuts = np.searchsorted(np.cumsum(sizes) // HASHED, np.arange(1, int(sizes.sum()) // HASHED + 1))
+    edges = np.unique(np.concatenate([[0], cuts, [len(sizes)]]))
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        n = sizes[i:j]
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) - np.repeat(first, n)
+        inside = data[at + np.repeat(start[i:j], n)].astype(np.uint64)
+        place = (at + np.repeat(base[i:j], n)).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            sums[i:j] = np.add.reduceat(mix64((place << np.uint64(21) | inside) + np.uint64(0x9E3779B97F4A7C15)), first)
     with np.errstate(over="ignore"):
-        mixed = mix64((place.astype(np.uint64) << np.uint64(21) | inside) + np.uint64(0x9E3779B97F4A7C15))
-    return mix64(np.add.reduceat(mixed, first))
+        return mix64(np.add.reduceat(sums, head))
